@@ -42,15 +42,17 @@ SPACE[[32, *range(9, 14)]] = True
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    raw = [a.tobytes() for a in arrays]
+    """Each array byte by byte of its numbers, so that leading zeros lie together, then compressed."""
+    raw = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
     return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(raw)}Q", *map(len, raw)) + b"".join(raw))
 
 
 def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompressobj().decompress(data)
     at, out = 8 * len(kinds), []
-    for n, kind in zip(struct.unpack_from(f"<{len(kinds)}Q", raw), kinds):
-        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
+    for n, kind in zip(struct.unpack_from(f"<{len(kinds)}Q", raw), map(np.dtype, kinds)):
+        planes = np.frombuffer(raw, np.uint8, n, at).reshape(kind.itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += n
     return out
 
@@ -193,7 +195,8 @@ class Discount:
         return np.where(counts == 0, freed, self.kept(counts, np.full(len(counts), half))) / self.total
 
 
-STATS = LAST + 4  # c(h), kinds of count 1 .. LAST, kinds above, sum of counts above, sum of lower P
+#: Of a context: followers with count 1 .. LAST, with higher ones, sum of those, sum of lower P.
+STATS = LAST + 3
 
 
 class Model:
@@ -223,6 +226,7 @@ class Model:
             self.lower = lower
 
     def asks(self) -> Iterator[tuple[int, bytes]]:
+        """Level 2 sends counts of words in place of their P, which follows from them."""
         level = self.level
         if level.n == 1:
             for part, rows in level.segments():
@@ -230,43 +234,58 @@ class Model:
             return
         ghosts = len(level.rows_context) - len(level.keys)
         counts = np.append(level.counts, np.zeros(ghosts, np.int64))
-        lower = np.append(self.lower, np.zeros(ghosts))
+        lower = np.append(self.word_totals[level.word] if level.n == 2 else self.lower, np.zeros(ghosts, np.int64))
         for part, rows in level.segments():
             context = level.rows_context[rows]
             starts = runs_of(context)
-            values, code = np.unique(lower[rows], return_inverse=True)
             word = level.rows_word[rows].view(np.uint8).reshape(-1, 8)[:, :6]
-            yield part, packed(level.context_keys[context[starts]], np.diff(starts, append=len(rows)), np.ascontiguousarray(word), counts[rows], values, code.astype("<u4"))
+            yield part, packed(level.context_keys[context[starts]], np.diff(starts, append=len(rows)), np.ascontiguousarray(word).ravel(), counts[rows], lower[rows])
 
     def take(self, replies: dict[int, bytes], discount: Discount) -> None:
-        """Totals and statistics of contexts, then P of each n-gram."""
+        """Totals and statistics of contexts, then P of each n-gram.
+
+        Where all followers of a context that were seen are in the block, it adds up their lower P
+        itself; the others' sums are in the reply.
+        """
         level = self.level
+        ghosts = len(level.rows_context) - len(level.keys)
+        lower = np.append(self.lower, np.zeros(ghosts))
         totals = np.zeros(len(level.rows_context), np.int64)
         stats = np.zeros((len(level.context_keys), STATS))
         for part, rows in level.segments():
-            got, of = unpacked(replies[part], "<i8", "<f8")
+            got, kinds, sums = unpacked(replies[part], "<i8", "<i8", "<f8")
             totals[rows] = got
             context = level.rows_context[rows]
-            np.add.at(stats, context[runs_of(context)], of.reshape(STATS, -1).T)
+            starts = runs_of(context)
+            of = np.zeros((STATS, len(starts)))
+            of[: STATS - 1] = kinds.reshape(STATS - 1, -1)
+            of[-1] = np.add.reduceat(np.where(got > 0, lower[rows], 0.0), starts)
+            of[-1, lacking(got, starts, of)] = sums
+            np.add.at(stats, context[starts], of.T)
         totals = totals[: len(level.keys)]
         self.totals, self.p = totals, katz(totals, stats, level.context, self.lower, discount)
 
 
+def lacking(totals: np.ndarray, starts: np.ndarray, stats: np.ndarray) -> np.ndarray:
+    """Contexts with followers other than those listed."""
+    return np.add.reduceat((totals > 0).astype(np.int64), starts) < stats[: LAST + 1].sum(0)
+
+
 def katz(totals: np.ndarray, stats: np.ndarray, context: np.ndarray, lower: np.ndarray, discount: Discount) -> np.ndarray:
     """P of n-grams; stats: of each context."""
-    of = stats[:, 0]
+    small, kinds, above = stats[:, :LAST], stats[:, LAST], stats[:, LAST + 1]
+    rank = np.arange(1, LAST + 1)
+    of = small @ rank + above
     there = np.maximum(of, 1)
-    small = stats[:, 1 : LAST + 1]
     half = small.sum(1) == 0
-    kept = np.where(half, stats[:, LAST + 2] - 0.5 * stats[:, LAST + 1], small @ (np.arange(1, LAST + 1) * discount.factor[1:]) + stats[:, LAST + 2])
-    alpha = np.where(of > 0, (1 - kept / there) / (1 - stats[:, LAST + 3]), 1.0)
+    kept = np.where(half, above - 0.5 * kinds, small @ (rank * discount.factor[1:]) + above)
+    alpha = np.where(of > 0, (1 - kept / there) / (1 - stats[:, -1]), 1.0)
     return np.where(totals > 0, discount.kept(totals, half[context]) / there[context], alpha[context] * lower)
 
 
 def context_stats(starts: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """STATS rows for each context: n-grams from each start on, with total counts and lower P."""
-    seen = counts > 0
-    rows = [counts, *(counts == r for r in range(1, LAST + 1)), counts > LAST, np.where(counts > LAST, counts, 0), np.where(seen, lower, 0.0)]
+    rows = [*(counts == r for r in range(1, LAST + 1)), counts > LAST, np.where(counts > LAST, counts, 0), np.where(counts > 0, lower, 0.0)]
     return np.array([np.add.reduceat(r.astype(np.float64), starts) for r in rows])
 
 
@@ -291,23 +310,24 @@ def merge_words(key, table):
     return reply_rows(1, key[0].as_py(), rows, summary(totals))
 
 
-def merge_grams(level: int):
+def merge_grams(level: int, words: Discount):
     def merge(key, table):
         blocks = table.column("block").to_pylist()
-        contexts, words, counts, lowers, sizes, heads = [], [], [], [], [], []
+        contexts, grams, counts, lowers, sizes, heads = [], [], [], [], [], []
         for data in table.column("data").to_pylist():
-            context, run, word, count, values, code = unpacked(data, "<u8", "<i8", "u1", "<i8", "<f8", "<u4")
+            context, run, word, count, lower = unpacked(data, "<u8", "<i8", "u1", "<i8", "<i8" if level == 2 else "<f8")
             wide = np.zeros((len(count), 8), np.uint8)
             wide[:, :6] = word.reshape(-1, 6)
-            for held, x in zip((contexts, words, counts, lowers, sizes, heads), (np.repeat(context, run), wide.view("<u8").ravel(), count, values[code], len(count), np.cumsum(run) - run)):
+            lower = words.words(lower) if level == 2 else lower
+            for held, x in zip((contexts, grams, counts, lowers, sizes, heads), (np.repeat(context, run), wide.view("<u8").ravel(), count, lower, len(count), np.cumsum(run) - run)):
                 held.append(x)
-        context, word, count, lower = map(np.concatenate, (contexts, words, counts, lowers))
+        context, word, count, lower = map(np.concatenate, (contexts, grams, counts, lowers))
+        del contexts, grams, counts, lowers
         order = np.lexsort((word, context))
         context, word = context[order], word[order]
         new = np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
-        gram = np.cumsum(new) - 1
         place = np.empty(len(order), np.int64)
-        place[order] = gram
+        place[order] = np.cumsum(new) - 1
         totals = np.bincount(place, count).astype(np.int64)
         low = np.zeros(len(totals))
         low[place] = lower
@@ -317,7 +337,8 @@ def merge_grams(level: int):
         rows, at = [], 0
         for b, n, head in zip(blocks, sizes, heads):
             own = place[at : at + n]
-            rows.append((b, packed(totals[own], np.ascontiguousarray(stats[:, owner[own[head]]]))))
+            of = stats[:, owner[own[head]]]
+            rows.append((b, packed(totals[own], of[:-1].astype(np.int64).ravel(), of[-1, lacking(totals[own], head, of)])))
             at += n
         return reply_rows(level, key[0].as_py(), rows, summary(totals))
 
@@ -363,6 +384,11 @@ def replies_of(table: pa.Table) -> tuple[str, dict[int, dict[int, bytes]]]:
     return table.column("block")[0].as_py(), out
 
 
+def answers(replies: list[DataFrame], parts: int):
+    """Replies by block. Dealt by number, not by size: the work is in the blocks they are for."""
+    return reduce(DataFrame.unionAll, replies).where("block != ''").repartition(parts, "block").groupBy("block")
+
+
 def up_to(uri: str, replies: dict[int, dict[int, bytes]], parts: int, discounts: list[Discount]) -> Model:
     model = Model(Block.load(uri), parts, discounts)
     model.words(replies[1])
@@ -396,8 +422,8 @@ def score_documents(docs: DataFrame, held: Column, order: int = 2, id_col: str =
                 sent = list(model.asks())
                 return pa.table([pa.array([p for p, _ in sent], pa.int32()), pa.array([uri] * len(sent)), pa.array([d for _, d in sent], pa.binary())], ["part", "block", "data"])
 
-            asks = reduce(DataFrame.unionAll, replies).where("block != ''").groupBy("block").applyInArrow(ask, ASK)
-        reply = asks.groupBy("part").applyInArrow(merge_words if n == 1 else merge_grams(n), REPLY)
+            asks = answers(replies, parts).applyInArrow(ask, ASK)
+        reply = asks.groupBy("part").applyInArrow(merge_words if n == 1 else merge_grams(n, discounts[0]), REPLY)
         replies.append(save(reply, f"{folder}/level-{n}"))
         nums = dict(replies[-1].where("block = ''").select(F.posexplode("nums")).groupBy("pos").agg(F.sum("col")).collect())
         discounts.append(Discount([nums.get(i, 0) for i in range(LAST + 3)]))
@@ -413,5 +439,4 @@ def score_documents(docs: DataFrame, held: Column, order: int = 2, id_col: str =
         columns += [pa.array(np.add.reduceat(x, starts)) for x in (base, np.log10(model.p)[model.level.at])]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    answered = reduce(DataFrame.unionAll, replies).where("block != ''")
-    return answered.groupBy("block").applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return answers(replies, parts).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

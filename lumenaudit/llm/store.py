@@ -45,9 +45,11 @@ def save(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of the input that ``df`` reads."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def estimated_bytes(df: DataFrame, unknown: int = 64 * MB) -> int:
+    """Size of the files that ``df`` reads, after Catalyst; ``unknown`` for a source that can't tell."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n if n < 1 << 60 else unknown for n in sizes)
 
 
 def parts_for(df: DataFrame, least: int = 16 * MB, most: int = 128 * MB, size: int | None = None) -> int:
