@@ -69,7 +69,7 @@ def stored_status(files: DataFrame, store: DataFrame | None = None) -> DataFrame
 
 def list_folder(spark: SparkSession, folder: str, store: DataFrame | None = None) -> DataFrame:
     """Files of one folder with their statuses and icons, and its sub-folders."""
-    inside = sources.described(spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/*"))
+    inside = sources.described(spark.read.format("binaryFile").load(folder))
     files = report.with_icons(stored_status(inside, store)).withColumn("entry_type", F.lit("file"))
     folders = sources.list_entries(spark, folder).where("entry_type = 'folder' or warning is not null")
     return files.unionByName(folders.select("path", "name", "entry_type", "warning"), allowMissingColumns=True)

@@ -29,7 +29,7 @@ def described(binary: DataFrame, case_sensitive: bool = False) -> DataFrame:
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files directly in a folder."""
-    return described(spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/*")).select(*FILE_COLUMNS)
+    return described(spark.read.format("binaryFile").load(folder)).select(*FILE_COLUMNS)
 
 
 def walk_files(spark: SparkSession, folder: str, kind: str | None = None, case_sensitive: bool = True) -> DataFrame:
