@@ -20,7 +20,8 @@ NONE = "und"
 
 
 def grams(word: str, n: int) -> list[str]:
-    padded = f" {word} "
+    """n-grams of the word with a space at both ends; single letters without them."""
+    padded = word if n == 1 else f" {word} "
     return [padded[i : i + n] for i in range(max(1, len(padded) - n + 1))]
 
 
