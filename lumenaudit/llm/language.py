@@ -53,7 +53,7 @@ class WordFirst:
         for n in range(LONGEST, 0, -1):
             found = [v for g in grams(word, n) if (v := self.levels[n].get(g)) is not None]
             if found:
-                return np.mean(found, 0)
+                return sum(found) / len(found)
         return np.zeros(len(self.langs))
 
 
@@ -77,7 +77,7 @@ class Scorer:
             self.clear()
         places = list(map(self.at.get, words))
         if None in places:
-            for w in set(words) - self.at.keys():
+            for w in {w for w, place in zip(words, places) if place is None}:
                 n = self.at[w] = len(self.at)
                 if n == len(self.table):
                     self.table = np.concatenate((self.table, np.zeros_like(self.table)))
