@@ -15,7 +15,8 @@ from ..functions import scalar as S
 from ..functions import text as X
 from ..operators import anchors, headings, issues, pdf_rules, report, slide_rules, status
 from ..schema import REPAIRS
-from ..sources import trees
+from ..sources import builders, trees
+from . import api
 from .catalog import query, table
 
 STATUS_SQL = "CASE WHEN l.doc_id IS NULL THEN 'Untested' WHEN l.quality = 0 THEN 'Not Accessible' WHEN l.toxic = 1 THEN 'Manual Testing Required' ELSE 'Accessible' END"
@@ -452,3 +453,68 @@ def page_headings(spark, sf_dir):
     return found.select("page_id", (F.col("pos") + 1).alias("pos"), "h.level", "h.text")
 
 
+
+
+def tested(files: DataFrame) -> api.Audit:
+    """Files that were made from rows, read and tested once each."""
+    return api.audit(files)
+
+
+@query("SELECT doc_id::VARCHAR AS path, i::INT AS para_ord, s[i] AS text FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))")
+def word_paragraphs(spark, sf_dir):
+    """Documents are written as Word files, a paragraph for each line, and read back."""
+    paragraphs = F.transform(F.split("text", "\n"), lambda t: F.struct(F.lit(None).cast("string").alias("style"), t.alias("text")))
+    files = builders.build(table(spark, sf_dir, "documents"), "doc_id", "word", builders.word, paragraphs=paragraphs)
+    return tested(files).tables["paragraphs"].select("path", "para_ord", "text")
+
+
+@query(f"""WITH RECURSIVE o AS ({LEVELS_SQL}), f AS (SELECT l_orderkey, 0::BIGINT AS pos, NULL::INT AS level, -1 AS at, 0 AS code FROM (SELECT DISTINCT l_orderkey FROM o)
+UNION ALL SELECT o.l_orderkey, o.pos, o.level, CASE WHEN {HEADING_STEP} <> 0 THEN f.at WHEN f.at = -1 AND o.level IS DISTINCT FROM 1 THEN 0 ELSE o.level END, {HEADING_STEP} FROM f JOIN o ON o.l_orderkey = f.l_orderkey AND o.pos = f.pos + 1)
+SELECT l_orderkey::VARCHAR AS path, 'Accessible' AS status, count(*) FILTER (WHERE code <> 0) = 0 AS report_passed FROM f GROUP BY l_orderkey""")
+def word_heading_audit(spark, sf_dir):
+    """Orders as Word files whose lines are headings; heading errors fail the report and leave the status."""
+    rows = synthetic_levels(spark, sf_dir).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", F.struct("level").alias("h")))).alias("rows"))
+    style = lambda x: F.concat(F.lit("Heading"), F.coalesce(x["h"]["level"].cast("string"), F.lit("X")))
+    paragraphs = F.transform("rows", lambda x: F.struct(style(x).alias("style"), x["pos"].cast("string").alias("text")))
+    return tested(builders.build(rows, "path", "word", builders.word, paragraphs=paragraphs)).results.select("path", "status", "report_passed")
+
+
+DECK_SQL = "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS slide FROM conversations"
+
+
+@query(f"""WITH s AS ({DECK_SQL}), i AS (SELECT conv_id, 'pptx-slide-title' AS rule_id FROM s WHERE turn % 2 = 1 UNION ALL SELECT conv_id, 'pptx-contrast' FROM s WHERE turn % 5 < 4 AND turn % 3 = 1
+UNION ALL SELECT conv_id, 'pptx-raw-link' FROM s WHERE turn % 5 < 4 AND turn % 4 = 2 UNION ALL SELECT conv_id, 'pptx-image-alt' FROM s WHERE turn % 6 = 3 UNION ALL SELECT conv_id, 'pptx-empty-slide' FROM s WHERE turn % 2 = 1 AND turn % 5 = 4 AND turn % 6 <> 3)
+SELECT conv_id::VARCHAR AS path, rule_id, count(*) AS n FROM i GROUP BY 1, 2""")
+def deck_audit(spark, sf_dir):
+    """Conversations as presentations, a slide for each turn, tested by all rules."""
+    t = F.col("turn")
+    slide = F.struct(
+        "turn", "text", F.when(t % 2 == 0, F.lit("title")).alias("title"), F.when(t % 3 == 1, "777777").alias("color"), F.when(t % 5 < 4, F.when(t % 4 == 2, F.lit("http://a.example/x")).otherwise(F.lit("words"))).alias("shown"),
+        F.when((t % 5 < 4) & (t % 4 == 2), F.lit("http://a.example/x")).alias("target"), F.when(t % 6 == 3, F.lit(" ")).alias("picture"),
+    )
+    decks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(slide)).alias("rows"))
+    slides = F.transform("rows", lambda r: F.struct(r["title"].alias("title"), r["color"].alias("color"), r["shown"].alias("text"), r["target"].alias("target"), r["picture"].alias("picture")))
+    found = tested(builders.build(decks, "conv_id", "powerpoint", builders.deck, slides=slides)).issues
+    return found.groupBy("path", "rule_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH k AS ({LINKS_SQL}), u AS (SELECT page_id, CASE WHEN trim(text) = '' THEN url ELSE trim(text) END AS text FROM k WHERE url <> ''),
+i AS (SELECT page_id, 'pdf-title' AS rule_id, NULL AS n FROM pages WHERE page_id % 7 = 0 UNION ALL SELECT page_id, 'pdf-language', NULL FROM pages WHERE page_id % 5 = 0
+UNION ALL SELECT page_id, 'pdf-link-purpose', count(*)::VARCHAR FROM u WHERE {UNCLEAR_SQL} GROUP BY page_id) SELECT page_id::VARCHAR AS path, rule_id, n FROM i""")
+def pdf_audit(spark, sf_dir):
+    """Pages as PDFs with their titles, languages and links, tested by all rules."""
+    html, k = F.col("html"), F.col("page_id")
+    title, lang = F.when(k % 7 == 0, F.lit("")).otherwise(M.title(html)), F.when(k % 5 != 0, M.language(html))
+    files = builders.build(table(spark, sf_dir, "pages"), "page_id", "pdf", builders.portable, title=title, language=lang, links=M.links(html))
+    return tested(files).issues.select("path", "rule_id", F.col("detail")["n"].alias("n"))
+
+
+@query(f"""WITH k AS ({LINKS_SQL}), bad AS (SELECT page_id FROM pages WHERE page_id % 7 = 0 OR page_id % 5 = 0 UNION SELECT page_id FROM (SELECT page_id, CASE WHEN trim(text) = '' THEN url ELSE trim(text) END AS text FROM k WHERE url <> '') WHERE {UNCLEAR_SQL})
+SELECT p.page_id::VARCHAR AS path, p.page_id % 11 <> 0 AS success, CASE WHEN p.page_id % 11 = 0 THEN 'Untested' WHEN b.page_id IS NULL THEN 'Manual Testing Required' ELSE 'Not Accessible' END AS status FROM pages p LEFT JOIN bad b ON p.page_id = b.page_id""")
+def pdf_batch_with_faults(spark, sf_dir):
+    """The same with every eleventh file cut to nothing: it stays Untested and the others are tested."""
+    html, k = F.col("html"), F.col("page_id")
+    title, lang = F.when(k % 7 == 0, F.lit("")).otherwise(M.title(html)), F.when(k % 5 != 0, M.language(html))
+    files = builders.build(table(spark, sf_dir, "pages"), "page_id", "pdf", builders.portable, title=title, language=lang, links=M.links(html))
+    cut = F.when(F.col("path").cast("long") % 11 == 0, F.lit(b"no file")).otherwise(F.col("content"))
+    return tested(files.withColumn("content", cut)).results.select("path", "success", "status")

@@ -17,6 +17,8 @@ from ..schema import ELEMENTS, PARSED, PDF, SLIDES, WORD, empty
 from . import ooxml, pdf
 
 SUFFIX = {WORD: "docx", PDF: "pdf", SLIDES: "pptx"}
+#: Parsed files that are passed on together: so many bytes of content, or so many files.
+GROUP_BYTES, GROUP_FILES = 4 << 20, 256
 FILE_COLUMNS = ("path", "name", "dir", "ext", "kind", "size", "mtime")
 
 
@@ -92,8 +94,9 @@ def parse_files(files: DataFrame) -> DataFrame:
     schema = to_arrow_schema(T._parse_datatype_string(PARSED))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for i in range(batch.num_rows):  # one file at a time: contents may be large
+            for i in range(batch.num_rows):  # one content at a time: they may be large
                 path, kind, data = (batch.column(k)[i].as_py() for k in range(3))
                 row: dict = {name: [] for name in ELEMENTS} | {"path": path, "kind": kind, "error": None, "extract_error": None}
                 try:
@@ -104,7 +107,13 @@ def parse_files(files: DataFrame) -> DataFrame:
                         row |= ooxml.parse(kind, data or b"")
                 except Exception as e:  # whatever a damaged file makes a parser raise belongs to that file
                     row = {name: [] for name in ELEMENTS} | {"path": path, "kind": kind, "error": f"{type(e).__name__}: {e}"[:500], "extract_error": None}
-                yield pa.RecordBatch.from_pylist([row], schema)
+                held.append(row)
+                size += len(data or b"")
+                if size >= GROUP_BYTES or len(held) >= GROUP_FILES:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
 
     return files.select("path", "kind", "content").mapInArrow(work, PARSED)
 
