@@ -24,6 +24,8 @@ from .tokens import encoded
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one packing task takes: bins left open at its end are then under one in a hundred.
 TASK_PIECES = 50_000
+#: Pieces that arrive together are placed largest first: small ones then fill what is left.
+WINDOW = 4096
 
 
 class Bins:
@@ -100,7 +102,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = Bins(capacity, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
-            places = [bins.place(n) for n in batch.column("length").to_pylist()]
+            lengths = batch.column("length").to_pylist()
+            places: list = [None] * len(lengths)
+            for at in range(0, len(lengths), WINDOW):
+                for i in sorted(range(at, min(at + WINDOW, len(lengths))), key=lengths.__getitem__, reverse=True):
+                    places[i] = bins.place(lengths[i])
             sequence = pa.array([base + n for n, _ in places], pa.int64())
             offset = pa.array([at for _, at in places], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, sequence, offset], [*batch.schema.names, "sequence_id", "offset"])
