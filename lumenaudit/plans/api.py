@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import issues as I
 from ..operators import pdf_rules, report, slide_rules, status, word_rules
-from ..schema import ACCESSIBLE, ISSUE, KINDS, MANUAL, PDF, SLIDES, UNTESTED, WORD, empty
+from ..schema import ACCESSIBLE, ISSUE, KINDS, MANUAL, NOT_ACCESSIBLE, OTHER, PDF, SLIDES, UNTESTED, WORD, empty
 from ..sources import files as sources
 
 
@@ -59,18 +59,23 @@ def audit_file(spark: SparkSession, path: str) -> Audit:
     return audit(sources.described(spark.read.format("binaryFile").load(path)))
 
 
-def stored_status(files: DataFrame, store: DataFrame | None = None) -> DataFrame:
-    """path, name, kind, size, status as the files themselves or the store tell it."""
+def stored_status(files: DataFrame, store: DataFrame | None = None, sniff: bool = False) -> DataFrame:
+    """path, name, kind, size, status as the files themselves or the store tell it. sniff: a file
+    named like a Word document that holds none is of another kind, without a status."""
     parsed = sources.parse_files(files)
     tables = sources.element_tables(parsed)
     known = store if store is not None else empty(files.sparkSession, "path string, status string")
-    return status.decode(files.select("path", "name", "kind", "size"), tables["custom_props"], tables["pdf_meta"], known)
+    rows = files.select("path", "name", "kind", "size")
+    if sniff:
+        fake = parsed.where((F.col("kind") == WORD) & F.col("error").isNotNull()).select("path", F.lit(True).alias("fake"))
+        rows = rows.join(fake, "path", "left").withColumn("kind", F.when(F.col("fake"), OTHER).otherwise(F.col("kind"))).drop("fake")
+    return status.decode(rows, tables["custom_props"], tables["pdf_meta"], known)
 
 
 def list_folder(spark: SparkSession, folder: str, store: DataFrame | None = None) -> DataFrame:
     """Files of one folder with their statuses and icons, and its sub-folders."""
     inside = sources.described(spark.read.format("binaryFile").load(folder))
-    files = report.with_icons(stored_status(inside, store)).withColumn("entry_type", F.lit("file"))
+    files = report.with_icons(stored_status(inside, store, sniff=True)).withColumn("entry_type", F.lit("file"))
     folders = sources.list_entries(spark, folder).where("entry_type = 'folder' or warning is not null")
     return files.unionByName(folders.select("path", "name", "entry_type", "warning"), allowMissingColumns=True)
 
@@ -83,11 +88,12 @@ def folder_report(spark: SparkSession, folder: str, store: DataFrame | None = No
     return report.folder_report(stored_status(files, store))
 
 
-def set_status(spark: SparkSession, store: str, path: str, value: str, user: str) -> DataFrame:
-    """A manual change, of any kind of file, in the status store."""
+def set_status(spark: SparkSession, store: str, path: str, value: str, user: str | None = None) -> DataFrame:
+    """A manual change, of any kind of file, in the status store; by the session's user if none is given."""
     from ..sources.writers import write_status
 
-    if value not in (ACCESSIBLE, "Not Accessible", MANUAL, UNTESTED):
+    if value not in (ACCESSIBLE, NOT_ACCESSIBLE, MANUAL, UNTESTED):
         raise ValueError(f"no status: {value}")
     row = spark.createDataFrame([(path, value, user)], "path string, status string, updated_by string")
-    return write_status(spark, row.withColumn("updated_at", F.current_timestamp()), store)
+    row = row.withColumns({"updated_by": F.coalesce("updated_by", F.current_user()), "updated_at": F.current_timestamp()})
+    return write_status(spark, row, store)

@@ -98,7 +98,7 @@ def test_listing(spark, folder):
     store = spark.createDataFrame([(f"file:{folder}/sub/locked.pdf", "Accessible")], "path string, status string")
     rows = names(api.list_folder(spark, str(folder), store).collect(), "name")
     assert rows["sub"].entry_type == "folder"
-    assert {k: r.status for k, r in rows.items() if r.entry_type == "file"} == {"good.docx": "Accessible", "bad.docx": "Not Accessible", "headings.docx": "Untested", "broken.docx": "Untested", "UPPER.DOCX": "Untested"}
+    assert {k: r.status for k, r in rows.items() if r.entry_type == "file"} == {"good.docx": "Accessible", "bad.docx": "Not Accessible", "headings.docx": "Untested", "broken.docx": "Not Applicable", "UPPER.DOCX": "Untested"}
     sub = names(api.list_folder(spark, str(folder / "sub"), store).collect(), "name")
     assert {k: r.status for k, r in sub.items()} == {"clean.pptx": "Accessible", "deck.pptx": "Untested", "plain.pdf": "Manual Testing Required", "form.pdf": "Untested", "locked.pdf": "Accessible", "notes.txt": "Not Applicable"}
     gone = sources.list_entries(spark, str(folder / "nowhere")).collect()
@@ -133,7 +133,7 @@ def test_reports(spark, audited, tmp_path):
 def test_status_store(spark, tmp_path):
     store = str(tmp_path / "store")
     assert api.set_status(spark, store, "a.pdf", "Accessible", "me").count() == 1
-    api.set_status(spark, store, "b.docx", "Untested", "me")
+    assert api.set_status(spark, store, "b.docx", "Untested").where("updated_by is not null").count() == 2
     rows = {r.path: r.status for r in api.set_status(spark, store, "a.pdf", "Not Accessible", "you").collect()}
     assert rows == {"a.pdf": "Not Accessible", "b.docx": "Untested"}
     with pytest.raises(ValueError):
