@@ -31,42 +31,45 @@ class WordFirst:
     def __init__(self, counts: list[tuple[str, str, int]]):
         self.langs = sorted({c[0] for c in counts})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        levels: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        #: For words, then for n-grams of each length: the row of each in the table of logs.
+        self.levels: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        sums: list[list[list[int]]] = [[] for _ in range(LONGEST + 1)]
         for lang, word, n in counts:
             for size in range(LONGEST + 1):
+                level, table = self.levels[size], sums[size]
                 for g in [word] if size == 0 else grams(word, size):
-                    levels[size].setdefault(g, np.zeros(len(self.langs)))[at[lang]] += n
-        self.levels = []
-        for level in levels:
-            if not level:
-                self.levels.append({})
-                continue
-            table = np.array(list(level.values())) + 0.5
-            logs = np.log(table / table.sum(0))
-            self.levels.append(dict(zip(level, logs)))
+                    row = level.setdefault(g, len(table))
+                    if row == len(table):
+                        table.append([0] * len(self.langs))
+                    table[row][at[lang]] += n
+        self.logs = []
+        for table in sums:
+            smooth = np.array(table, np.float64).reshape(-1, len(self.langs)) + 0.5
+            self.logs.append(np.log(smooth / smooth.sum(0)).astype(np.float32))
 
     def word(self, word: str) -> np.ndarray:
         """Log frequency in each language."""
-        known = self.levels[0].get(word)
-        if known is not None:
-            return known
+        row = self.levels[0].get(word)
+        if row is not None:
+            return self.logs[0][row]
         for n in range(LONGEST, 0, -1):
-            found = [v for g in grams(word, n) if (v := self.levels[n].get(g)) is not None]
-            if found:
-                return sum(found) / len(found)
-        return np.zeros(len(self.langs))
+            level = self.levels[n]
+            rows = [r for g in grams(word, n) if (r := level.get(g)) is not None]
+            if rows:
+                return self.logs[n][rows].mean(0)
+        return np.zeros(len(self.langs), np.float32)
 
 
 class Scorer:
     """Keeps the scores of words met before; the cache starts anew when full."""
 
-    def __init__(self, model: WordFirst, most: int = 300_000):
+    def __init__(self, model: WordFirst, most: int = 150_000):
         self.model, self.most = model, most
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.table = np.zeros((1024, max(1, len(self.model.langs))))
+        self.table = np.zeros((1024, max(1, len(self.model.langs))), np.float32)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the likelihood of all words."""
@@ -83,7 +86,7 @@ class Scorer:
                     self.table = np.concatenate((self.table, np.zeros_like(self.table)))
                 self.table[n] = self.model.word(w)
             places = list(map(self.at.__getitem__, words))
-        total = self.table[places].sum(0)
+        total = self.table[places].sum(0, dtype=np.float64)
         share = np.exp(total - total.max())
         best = int(np.argmax(share))
         return self.model.langs[best], float(share[best] / share.sum())

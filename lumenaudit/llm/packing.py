@@ -71,7 +71,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, i
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for doc, raw in zip(batch.column(0).to_pylist(), encoded(tokenizer, batch.column(1).to_pylist(), end_id)):
+            for doc, raw in zip(batch.column(0).to_pylist(), encoded(tokenizer, batch.column(1), end_id)):
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     for column, value in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)):

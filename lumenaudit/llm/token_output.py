@@ -167,7 +167,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, wide
         for batch in batches:
             if batch.num_rows and writer is None:
                 writer = ShardWriter(name := f"{folder}/shard-{number:07d}-{TaskContext.get().taskAttemptId()}.ids", wide)
-            for doc, raw in zip(batch.column(0).to_pylist(), encoded(tokenizer, batch.column(1).to_pylist(), end_id)):
+            for doc, raw in zip(batch.column(0).to_pylist(), encoded(tokenizer, batch.column(1), end_id)):
                 writer.add(doc, raw)
         if writer is not None:
             writer.close()

@@ -102,7 +102,7 @@ class ChunkEncoder:
     pieces: how many pieces the cache may hold before it starts anew.
     """
 
-    def __init__(self, path: str, pieces: int = 600_000):
+    def __init__(self, path: str, pieces: int = 300_000):
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
@@ -171,11 +171,11 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def encoded(path: str, texts: list[str | None], end_id: int, most: int = 8 << 20):
+def encoded(path: str, texts: pa.Array, end_id: int, most: int = 2 << 20):
     """Yields the ids of each text and the end id, as bytes; null is empty. most: characters encoded at once."""
     group, size = [], 0
     for t in texts:
-        group.append(t or "")
+        group.append(t.as_py() or "")
         size += len(group[-1])
         if size >= most:
             yield from encoder(path).encode(group, end_id)
