@@ -61,12 +61,12 @@ def test_language(spark, labelled):
     assert all(0 <= r.score <= 1 for r in got.values()) and got[3].score == 0 and got[8].score == pytest.approx(1 / 3)
 
 
-def test_backoff_is_word_first(labelled):
+def test_backoff_is_word_first():
     model = language.WordFirst([("aa", "abc", 5), ("bb", "abd", 5)])
-    assert (model.word("abc") == model.levels[0]["abc"]).all()
-    found = [model.levels[3][g] for g in language.grams("xabc", 3) if g in model.levels[3]]
-    longest = [model.levels[4][g] for g in language.grams("xabc", 4) if g in model.levels[4]]
-    assert found and (model.word("xabc") == sum(longest) / len(longest)).all()
+    assert (model.word("abc") == model.logs[0][model.levels[0]["abc"]]).all()
+    longest = [model.logs[4][model.levels[4][g]] for g in language.grams("xabc", 4) if g in model.levels[4]]
+    assert longest and model.word("xabc") == pytest.approx(sum(longest) / len(longest))
+    assert not any(g in model.levels[5] for g in language.grams("xabc", 5))
     assert (model.word("日") == 0).all()
 
 
