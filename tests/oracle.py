@@ -19,7 +19,7 @@ def connection():
 
 
 def plain(value):
-    if value is None or value != value or str(value) in ("<NA>", "NaT"):
+    if value is None or str(value) in ("<NA>", "NaT", "nan"):
         return None
     if isinstance(value, (bool, np.bool_)):
         return bool(value)
