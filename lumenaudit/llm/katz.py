@@ -164,17 +164,37 @@ def runs_of(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
 
 
+def turing(of: list[float]) -> list[float] | None:
+    """Katz's factors of counts 1 .. LAST from counts of counts ``of``, if all lie within (0, 1)."""
+    if not all(of[1 : LAST + 1]) or (ratio := (LAST + 1) * of[LAST + 1] / of[1]) >= 1:
+        return None
+    factors = [((r + 1) * of[r + 1] / of[r] / r - ratio) / (1 - ratio) for r in range(1, LAST + 1)]
+    return factors if all(0 < d < 1 for d in factors) else None
+
+
+def smoothed(of: list[int]) -> list[float]:
+    """Counts of counts on the line through log n_r by log r, up to scale, as in Simple Good-Turing.
+
+    Where it falls faster than 1/r, all factors from it lie within (0, 1).
+    """
+    seen = [r for r in range(1, LAST + 2) if of[r]]
+    slope = np.polyfit(np.log(seen), np.log([of[r] for r in seen]), 1)[0] if len(seen) > 1 else 0.0
+    return [0.0, *(float(r) ** slope for r in range(1, LAST + 2))]
+
+
 class Discount:
-    """Good-Turing factors of one order from its counts of counts n_1 .. n_(LAST+1)."""
+    """Good-Turing factors of one order from its counts of counts n_1 .. n_(LAST+1).
+
+    Where the raw ratios give a factor outside (0, 1), all are taken from smoothed counts of counts.
+    """
 
     def __init__(self, nums: list[int]):
         of, self.total, self.kinds = [0, *nums[: LAST + 1]], nums[LAST + 1], nums[LAST + 2]
         self.factor = np.ones(LAST + 1)
-        ratio = (LAST + 1) * of[LAST + 1] / of[1] if of[1] else 1.0
-        turing = [((r + 1) * of[r + 1] / of[r] / r - ratio) / (1 - ratio) if of[r] and ratio < 1 else 0.0 for r in range(1, LAST + 1)]
-        if all(0 < d < 1 for d in turing):
-            self.factor[1:] = turing
-        else:  # too few counts of counts for Good-Turing: take a fixed part of each count
+        factors = turing(of) or turing(smoothed(of))
+        if factors:
+            self.factor[1:] = factors
+        else:  # counts of counts that do not fall faster than 1/r: take a fixed part of each count
             part = of[1] / (of[1] + 2 * of[2]) if of[1] else 0.5
             self.factor[1:] = [(r - min(part, 0.9)) / r for r in range(1, LAST + 1)]
         #: Where nothing was discounted, half a count of each kind is set free.

@@ -109,3 +109,31 @@ def test_edges(spark):
     assert katz.score_documents(rows, no).count() == 3
     none = katz.score_documents(rows, F.lit(True)).collect()
     assert {(r.train_tokens, r.score, r.base_score) for r in none} == {(0, 0.0, 0.0)}
+
+
+def independent_factors(n):
+    """From n_1 .. n_6: slope by the normal equations, then Katz's formula with r* = (r + 1) S(r + 1) / S(r)."""
+    x, y = [math.log(r) for r in range(1, 7)], [math.log(v) for v in n]
+    mx, my = sum(x) / 6, sum(y) / 6
+    slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
+    mu = 6 ** (slope + 1)
+    return [((1 + 1 / r) ** (slope + 1) - mu) / (1 - mu) for r in range(1, 6)]
+
+
+@pytest.mark.parametrize("nums", [[207344, 59772, 25017, 14274, 13493, 7080, 3435607, 373692], [1579638, 246704, 51653, 21705, 18939, 7580, 3435607, 1962018]])
+def test_good_turing_where_raw_ratios_fail(nums):
+    """Counts of counts of sf0.1, for which the raw d_4 is above 1."""
+    got = katz.Discount(nums).factor[1:]
+    assert 5 * nums[4] / nums[3] / 4 > 1
+    assert got == pytest.approx(independent_factors(nums[:6])) and all(0 < d < 1 for d in got)
+
+
+def test_raw_good_turing_where_it_holds():
+    nums = [684867, 182229, 76869, 44215, 34199, 23469, 23209938, 1247806]
+    mu = 6 * nums[5] / nums[0]
+    assert katz.Discount(nums).factor[1:] == pytest.approx([((r + 1) * nums[r] / nums[r - 1] / r - mu) / (1 - mu) for r in range(1, 6)])
+
+
+def test_gaps_in_counts_of_counts():
+    assert all(0 < d < 1 for d in katz.Discount([40, 9, 0, 2, 0, 0, 90, 51]).factor[1:])
+    assert katz.Discount([3, 9, 20, 2, 0, 0, 90, 40]).factor[1] == pytest.approx(1 - 3 / 21)
