@@ -59,6 +59,10 @@ class WordFirst:
                 return self.logs[n][rows].mean(0)
         return np.zeros(len(self.langs), np.float32)
 
+    def knows(self, word: str) -> bool:
+        """Whether the word, or one of its longest n-grams, was seen: it falls back no further."""
+        return word in self.levels[0] or any(g in self.levels[LONGEST] for g in grams(word, LONGEST))
+
 
 class Scorer:
     """Keeps the scores of words met before; the cache starts anew when full."""
@@ -70,12 +74,17 @@ class Scorer:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.table = np.zeros((1024, max(1, len(self.model.langs))), np.float32)
+        self.known: list[bool] = []
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the likelihood of all words."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its share of the likelihood, and the share of words that the model knows."""
         words = WORD.findall((text or "").lower())
         if not any(c.isalpha() for w in words for c in w) or not self.model.langs:
-            return NONE, 0.0
+            return NONE, 0.0, 0.0
         if len(self.at) > self.most:
             self.clear()
         places = list(map(self.at.get, words))
@@ -85,11 +94,13 @@ class Scorer:
                 if n == len(self.table):
                     self.table = np.concatenate((self.table, np.zeros_like(self.table)))
                 self.table[n] = self.model.word(w)
+                self.known.append(self.model.knows(w))
             places = list(map(self.at.__getitem__, words))
         total = self.table[places].sum(0, dtype=np.float64)
         share = np.exp(total - total.max())
         best = int(np.argmax(share))
-        return self.model.langs[best], float(share[best] / share.sum())
+        known = sum(map(self.known.__getitem__, places)) / len(places)
+        return self.model.langs[best], float(share[best] / share.sum()), known
 
 
 def train(labelled: DataFrame, max_docs: int = 20_000, max_words: int = 30_000, text_col: str = "text", lang_col: str = "lang") -> WordFirst:
@@ -107,15 +118,16 @@ def train(labelled: DataFrame, max_docs: int = 20_000, max_words: int = 30_000,
 
 
 def predict(spark, model: WordFirst, text: Column) -> Column:
-    """struct(lang, score): a learned language, or ``und`` and 0 where the text is null or has no
-    letter. A text whose letters are all unknown gets the first language and an even share."""
+    """struct(lang, score, known): a learned language, or ``und``, 0 and 0 where the text is null or
+    has no letter. A text whose letters are all unknown gets the first language and an even share.
+    known: the share of words of which the model knows the whole or a longest n-gram."""
     shared = spark.sparkContext.broadcast(model)  # at most max_words words a language and their n-grams
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, known double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = Scorer(shared.value)
         for texts in batches:
-            yield pd.DataFrame([score(t) for t in texts], columns=["lang", "score"])
+            yield pd.DataFrame([score.judge(t) for t in texts], columns=["lang", "score", "known"])
 
     return judge(text.cast("string"))
 
@@ -125,6 +137,18 @@ def held_out(id_col: Column, folds: int = 5, fold: int = 0) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
+def least_known(labelled: DataFrame, model: WordFirst, max_docs: int = 4_000, text_col: str = "text", lang_col: str = "lang") -> float:
+    """Share of known words below which a text is in no learned language: half of what 99 in 100
+    labelled rows reach. ``labelled``: rows not learned from, of which about ``max_docs`` are taken by
+    a hash of their text. 0 without such rows."""
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).cast("string").alias("text"))
+    share = min(1.0, max_docs / max(1, rows.count()))
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = predict(labelled.sparkSession, model, F.col("text"))["known"]
+    return (rows.select(known.alias("known")).agg(F.percentile_approx("known", 0.01)).first()[0] or 0.0) / 2
+
+
 def language_id(docs: DataFrame, model: WordFirst, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for each row of ``docs``; repeated rows and null ids included."""
     found = docs.select(F.col(id_col).alias("doc_id"), predict(docs.sparkSession, model, F.col(text_col)).alias("found"))
