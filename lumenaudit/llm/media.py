@@ -1,8 +1,9 @@
 """Media columns: bytes stored losslessly as PNG images in a binary column, and perceptual hashes.
 
 The PNG is written and read here: length, type, data and CRC-32 of each chunk, zlib data with its
-own sum, and row filters undone with numpy. The feature is the sign pattern of the lowest
-frequencies of a cosine transform of the image, averaged to a small square.
+own sum, and row filters undone with numpy. The hash is the sign pattern of the lowest frequencies
+of a cosine transform of the image, averaged to a small square. Images and hashes are binary columns
+of a Parquet table, and what is reported is read back from there.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import save, work_dir
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
-SIDE, LOW = 32, 8
+SIDE, LOW, STEPS = 32, 8, 256
 IDAT = 1 << 20
 
 
@@ -131,48 +134,67 @@ def shrink(image: np.ndarray, side: int = SIDE) -> np.ndarray:
     return means(means(image.astype(np.float64)).T).T
 
 
-def cosine_hash(image: np.ndarray) -> str:
-    """64 bits in hex: which of the lowest 8 by 8 frequencies lie above their median (the mean counts as 0)."""
-    low = BASIS @ shrink(image) @ BASIS.T
+def cosine_hash(image: np.ndarray) -> bytes:
+    """64 bits: which of the lowest 8 by 8 frequencies lie above their median. The mean counts as 0.
+
+    Terms are rounded to steps of a 256th of the largest, so that what is small beside it, rounding
+    errors above all, is 0; a term equal to the median gives 0. A flat image has no terms: all bits are 0.
+    """
+    small = shrink(image)
+    low = BASIS @ (small - small.mean()) @ BASIS.T
     low[0, 0] = 0
-    bits = (low > np.median(low)).ravel()
-    return np.packbits(bits).tobytes().hex()
+    most = np.abs(low).max()
+    if most < 1e-6:
+        return bytes(8)
+    steps = np.rint(low * (STEPS / most))
+    return np.packbits((steps > np.median(steps)).ravel()).tobytes()
 
 
 def media_columns(docs: DataFrame, level: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media (a PNG), feature: each text as UTF-8, padded with zero bytes to whole
-    rows of 64 samples. One row for each row of ``docs``; a null text is empty and becomes one row
-    of zeros. An empty table gives no rows; other columns are not read.
+    """doc_id, n_bytes, media (a PNG), hash (8 bytes): each text as UTF-8, padded with zero bytes to
+    whole rows of 64 samples. One row for each row of ``docs``, repeated rows and null ids too; a
+    null text is empty and becomes one row of zeros; equal texts give equal bytes. An image is held
+    whole, in about three times the bytes of its text. An empty table gives no rows; other columns
+    are not read.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                batch, sizes, media, features = whole.slice(at, 512), [], [], []
+                batch, sizes, media, hashes = whole.slice(at, 512), [], [], []
                 for text in batch.column(1).to_pylist():
                     raw = (text or "").encode("utf-8", "replace")
                     payload = raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH))
                     sizes.append(len(raw))
                     media.append(encode_png(payload, level=level))
-                    features.append(cosine_hash(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(features, pa.string())], ["doc_id", "n_bytes", "media", "feature"])
+                    hashes.append(cosine_hash(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(hashes, pa.binary())], ["doc_id", "n_bytes", "media", "hash"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_bytes long, media binary, feature string")
+    return rows.mapInArrow(work, "doc_id long, n_bytes long, media binary, hash binary")
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Digests of the samples read back from the stored images; a damaged image raises."""
+    """Digests of the samples read back from the stored images, and the hash as hex. An image that is
+    damaged, or whose samples have another hash than the stored one, raises."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for batch in batches:
-            rows = []
-            for doc, n, png in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                image = decode_png(png)
-                raw = image.tobytes()
-                rows.append((doc, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(image)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names)
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                rows = []
+                for doc, n, png, stored in zip(*(c.to_pylist() for c in whole.slice(at, 512).columns)):
+                    image = decode_png(png)
+                    raw, found = image.tobytes(), cosine_hash(image)
+                    if found != stored:
+                        raise ValueError("an image has another hash than the one beside it")
+                    rows.append((doc, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(png), hashlib.sha256(png).hexdigest(), found.hex()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names)
+
+    return media.select("doc_id", "n_bytes", "media", "hash").mapInArrow(work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def media_table(docs: DataFrame, **options) -> DataFrame:
+    """Writes the images as a Parquet table in the shared folder and returns what is read back of them."""
+    return read_media(save(media_columns(docs, **options), f"{work_dir(docs.sparkSession, 'media')}/images"))
