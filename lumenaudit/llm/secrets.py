@@ -8,13 +8,14 @@ that hold the blob.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import save, work_dir
+from .store import drop, free_name, on_hadoop, save, small, work_dir
 
 
 def either(word: str) -> str:
@@ -54,10 +55,13 @@ def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8"), 256))
 
 
+def has_table(spark, ledger: str, table: str) -> bool:
+    path, system = on_hadoop(spark, f"{ledger}/{table}")
+    return system.exists(path)
+
+
 def read_ledger(spark, ledger: str, table: str, schema: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/{table}")
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(schema).parquet(f"{ledger}/{table}") if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{ledger}/{table}") if has_table(spark, ledger, table) else spark.createDataFrame([], schema)
 
 
 def matches(text: Column, rule: Rule) -> Column:
@@ -88,19 +92,24 @@ def scan(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 def update_ledger(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """Scans what the ledger lacks of the texts in ``docs`` and appends it.
 
-    Findings are written before the mark that their blob is scanned, so a run that dies in between
-    is made up by the next; findings written twice count once.
+    Hashes are held against the ledger first; then only texts of blobs that lack a rule are moved,
+    one of each blob to the scan. Findings are written before the mark that their blob is scanned,
+    so a run that dies in between is made up by the next; findings written twice count once.
     """
     spark = docs.sparkSession
     versions = F.array(*[F.lit(r.version) for r in rules])
     rows = docs.select(blob_of(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    seen = has_table(spark, ledger, "scanned")
     done = read_ledger(spark, ledger, "scanned", SCANNED).groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("done"))
-    blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
     missing = F.array_except(versions, F.coalesce("done", F.array().cast("array<string>")))
-    todo = blobs.join(done, "blob", "left").withColumn("missing", missing).where(F.size("missing") > 0)
-    scan(todo.select("blob", "text", "missing"), rules).write.mode("append").parquet(f"{ledger}/findings")
-    marks = rows.select("blob").distinct().join(done, "blob", "left").select("blob", missing.alias("rules")).where(F.size("rules") > 0)
-    marks.write.mode("append").parquet(f"{ledger}/scanned")
+    todo = rows.select("blob").distinct().join(done, "blob", "left").select("blob", missing.alias("rules")).where(F.size("rules") > 0)
+    todo = save(todo, pending := f"{ledger}/todo-{uuid.uuid4().hex}")
+    if seen:  # else all of them are to do
+        rows = rows.join(small(todo.select("blob")), "blob", "left_semi")
+    blobs = rows.groupBy("blob").agg(F.first("text").alias("text")).join(small(todo), "blob")
+    scan(blobs.select("blob", "text", F.col("rules").alias("missing")), rules).write.mode("append").parquet(f"{ledger}/findings")
+    todo.write.mode("append").parquet(f"{ledger}/scanned")
+    drop(spark, pending)
     return read_ledger(spark, ledger, "findings", FINDING)
 
 
@@ -115,17 +124,19 @@ def spans_by_blob(findings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 NO_SPANS = "array<struct<start:int,rank:int,end:int,kind:string,base:boolean>>"
 
 
-def find_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``secret_spans``, sorted by start, then kind as listed; empty where none is.
+def find_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text", out: str = "secret_spans") -> DataFrame:
+    """``docs`` with a column ``out``: spans sorted by start, then kind as listed; empty where none is.
 
     Offsets count code points; the end is exclusive. ledger: a folder that all executors share;
-    without one this run starts an empty ledger. Null texts are empty; repeated rows each get the
-    findings of their blob. All columns stay; ``secret_spans`` and ``secret_blob`` are replaced.
+    without one this run starts an empty ledger. Null and empty texts have no spans; whole texts are
+    scanned, however long; repeated rows each get the findings of their blob; an empty table gives
+    no rows. All columns stay, but one named ``out`` is replaced.
     """
     findings = update_ledger(docs, ledger or f"{work_dir(docs.sparkSession, 'ledger')}", rules, text_col)
-    spans = spans_by_blob(findings, rules).select(F.col("blob").alias("secret_blob"), F.col("spans").alias("secret_spans"))
-    rows = docs.drop("secret_spans").withColumn("secret_blob", blob_of(F.col(text_col)))
-    return rows.join(spans, "secret_blob", "left").withColumn("secret_spans", F.coalesce("secret_spans", F.array().cast(NO_SPANS))).drop("secret_blob")
+    key = free_name(docs, "blob")
+    spans = spans_by_blob(findings, rules).select(F.col("blob").alias(key), F.col("spans").alias(out))
+    rows = docs.withColumn(key, blob_of(F.col(text_col))).drop(out)
+    return rows.join(spans, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast(NO_SPANS))).drop(key)
 
 
 def listed(spans: Column) -> Column:

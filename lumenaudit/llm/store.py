@@ -15,6 +15,7 @@ import uuid
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MB = 1 << 20
 
@@ -32,11 +33,35 @@ def base_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new, unique place for one run of an operator."""
+    """A new, unique place for one run of an operator; it goes when the driver ends."""
     base = base_dir(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/lumenaudit/{name}-{uuid.uuid4().hex}"
+    folder = f"{base}/lumenaudit/{name}-{uuid.uuid4().hex}"
+    path, system = on_hadoop(spark, folder)
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
+
+
+def on_hadoop(spark: SparkSession, uri: str):
+    """The path and its file system, as Spark itself opens them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop(spark: SparkSession, uri: str) -> None:
+    """Removes a table that nothing reads any more."""
+    path, system = on_hadoop(spark, uri)
+    system.delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in either case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def save(df: DataFrame, path: str) -> DataFrame:
@@ -52,6 +77,15 @@ def estimated_bytes(df: DataFrame, unknown: int = 64 * MB) -> int:
     return sum(n if n < 1 << 60 else unknown for n in sizes)
 
 
+#: Tables up to this size, as written, may be broadcast.
+BROADCAST = 32 * MB
+
+
+def small(saved: DataFrame) -> DataFrame:
+    """A written table, marked for broadcasting if its files are known to be small."""
+    return F.broadcast(saved) if estimated_bytes(saved, unknown=1 << 60) <= BROADCAST else saved
+
+
 def parts_for(df: DataFrame, least: int = 16 * MB, most: int = 128 * MB, size: int | None = None) -> int:
     """Number of partitions: about four for each core, none much under ``least`` or over ``most`` bytes."""
     size = estimated_bytes(df) if size is None else size
@@ -59,7 +93,13 @@ def parts_for(df: DataFrame, least: int = 16 * MB, most: int = 128 * MB, size: i
     return max(1, math.ceil(size / min(most, max(least, size // (4 * cores)))))
 
 
+#: Names that Spark has for schemes that the executors' own file systems know by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    scheme, mark, rest = uri.partition("://")
+    uri = f"{SCHEMES.get(scheme, scheme)}{mark}{rest}"
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
