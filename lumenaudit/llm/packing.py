@@ -1,7 +1,7 @@
 """Packs documents into token sequences of a fixed capacity.
 
-Method: bounded-space online best-fit. A packing task keeps a fixed number of open bins. A bitset
-with one bit for each amount of free space says which amounts are on hand, so the bin that a piece
+Method: bounded-space online best-fit. A packing task places pieces as they arrive and keeps a fixed
+number of open bins. A bitset with one bit for each amount of free space says which amounts are on hand, so the bin that a piece
 fills best is the lowest set bit at or above its length. When all bins are open and none fits, the
 fullest closes and a new one opens.
 
@@ -24,8 +24,6 @@ from .tokens import encoded
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one packing task takes: bins left open at its end are then under one in a hundred.
 TASK_PIECES = 50_000
-#: Pieces that arrive together are placed largest first: small ones then fill what is left.
-WINDOW = 4096
 
 
 class Bins:
@@ -84,14 +82,15 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, i
     return rows.mapInArrow(work, PIECE + (", ids binary" if with_ids else ""))
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, open_bins: int = 512, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, open_bins: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row for each piece of a document, with its place in a sequence.
 
     Every row of ``docs`` is a document: its token ids, then ``end_id``. A null or empty text has
     the end id alone; repeated rows and repeated or null ids are documents of their own. Longer
     ones than ``capacity`` are cut. No sequence is longer than ``capacity`` and its pieces leave no
-    gap. with_ids: also the ids, as little-endian unsigned 32-bit numbers. An empty table gives no
-    rows; columns other than the two named are not read.
+    gap. with_ids: also the ids, as little-endian unsigned 32-bit numbers. Ids are those that the
+    library gives by default: a special token's string in a text is that token. An empty table gives
+    no rows; columns other than the two named are not read.
     """
     spark = docs.sparkSession
     pieces = save(cut_documents(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), f"{work_dir(spark, 'pack')}/pieces")
@@ -102,11 +101,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = Bins(capacity, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
-            lengths = batch.column("length").to_pylist()
-            places: list = [None] * len(lengths)
-            for at in range(0, len(lengths), WINDOW):
-                for i in sorted(range(at, min(at + WINDOW, len(lengths))), key=lengths.__getitem__, reverse=True):
-                    places[i] = bins.place(lengths[i])
+            places = [bins.place(n) for n in batch.column("length").to_pylist()]
             sequence = pa.array([base + n for n, _ in places], pa.int64())
             offset = pa.array([at for _, at in places], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, sequence, offset], [*batch.schema.names, "sequence_id", "offset"])

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Sink, open_input, parts_for, work_dir
+from .store import Sink, open_input, parts_for, save, work_dir
 from .tokens import encoded
 
 MAGIC = b"LMTS0001"
@@ -27,7 +27,7 @@ SAMPLE = 256
 
 
 class EliasFano:
-    """n ascending integers from 0 on. ``get`` selects one, ``all`` decodes them."""
+    """n ascending integers from 0 on. ``get`` selects one, ``span`` some that follow each other."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
@@ -66,13 +66,31 @@ class EliasFano:
         place = 8 * at + (byte & -byte).bit_length() - 1
         return ((place - i) << self.low_bits) | self._low(i)
 
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (places - np.arange(self.n)) << self.low_bits
+    def span(self, i: int, j: int) -> np.ndarray:
+        """Those from the i-th to before the j-th; reads only their part of both vectors."""
+        if not 0 <= i < j <= self.n:
+            return np.zeros(0, np.int64)
+        first = i // SAMPLE * SAMPLE
+        at = int(self.samples[first // SAMPLE]) // 8
+        after = (j - 1) // SAMPLE + 1
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        bits = np.unpackbits(self.high[at:end], bitorder="little")
+        bits[: int(self.samples[first // SAMPLE]) - 8 * at] = 0
+        places = np.flatnonzero(bits)[i - first : j - first] + 8 * at
+        high = (places - np.arange(i, j)) << self.low_bits
         if not self.low_bits:
             return high
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return high | bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+        a = i * self.low_bits
+        low = np.unpackbits(self.low[a // 8 : -(-j * self.low_bits // 8)], bitorder="little")[a % 8 :][: (j - i) * self.low_bits]
+        return high | low.reshape(j - i, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+
+    def last_up_to(self, value: int, i: int) -> int:
+        """The last place from ``i`` on that holds at most ``value``, by selects; ``i`` if there is none."""
+        a, b = i, self.n
+        while b - a > 1:
+            middle = (a + b) // 2
+            a, b = (middle, b) if self.get(middle) <= value else (a, middle)
+        return a
 
     def parts(self) -> list[bytes]:
         return [self.low.tobytes(), self.high.tobytes(), self.samples.tobytes()]
@@ -140,27 +158,31 @@ class Shard:
 
     def rows(self, step: int = 4 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(document id, start, ids) in order, reading about ``step`` ids at a time; checks the sum."""
-        ends, docs, nulls, crc = self.ends.all(), self.docs.all() + self.about["first"], self.about["nulls"], 0
-        i = 0
+        nulls, crc, i = self.about["nulls"], 0, 0
         while i < len(self):
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] + step, "right")) - 1)
-            data = self.file.read_at(int(ends[j] - ends[i]) * self.width, int(ends[i]) * self.width)
+            j = min(len(self), max(i + 1, self.ends.last_up_to(self.ends.get(i) + step, i)))
+            ends = self.ends.span(i, j + 1)
+            docs = [None] * (min(j, nulls) - i) + (self.docs.span(max(0, i - nulls), max(0, j - nulls)) + self.about["first"]).tolist()
+            data = self.file.read_at(int(ends[-1] - ends[0]) * self.width, int(ends[0]) * self.width)
             crc = zlib.crc32(data, crc)
             ids = np.frombuffer(data, self.about["kind"])
-            for k in range(i, j):
-                yield None if k < nulls else int(docs[k - nulls]), int(ends[k]), ids[ends[k] - ends[i] : ends[k + 1] - ends[i]]
+            for doc, a, b in zip(docs, ends, ends[1:]):
+                yield doc, int(a), ids[a - ends[0] : b - ends[0]]
             i = j
         if crc != self.about["crc32"]:
             raise ValueError("a token shard's checksum does not match")
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the documents in ascending id order (null ids first; equal ids by text hash).
 
-    Returns (file, ids before it, ids in it) for each shard, in order: one row for each file, not for
-    each document. Repeated rows are documents of their own; a null text is empty.
+    Returns the manifest, a table beside the shards: number, file, start (ids in the shards before
+    it) and ids, one row for each file. Repeated rows are documents of their own, and may lie in
+    several shards; a null text is empty; a text is encoded whole. Ids are those that the library
+    gives by default: a special token's string in a text is that token.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "turn": F.monotonically_increasing_id()})  # a turn parts equal rows
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, writer = TaskContext.get().partitionId(), None
@@ -173,26 +195,34 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, wide
             writer.close()
             yield pa.RecordBatch.from_pydict({"number": [number], "file": [name], "ids": [writer.ends[-1]]}, pa.schema([("number", pa.int64()), ("file", pa.string()), ("ids", pa.int64())]))
 
-    parts = rows.repartitionByRange(parts_for(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    shards = sorted((r.number, r.file, r.ids) for r in parts.mapInArrow(work, "number long, file string, ids long").collect())
-    out, start = [], 0
-    for _, file, n in shards:
-        out.append((file, start, n))
-        start += n
-    return out
+    order = ("doc_id", "tie", "turn")
+    parts = rows.repartitionByRange(parts_for(docs), *order).sortWithinPartitions(*order)
+    written = save(parts.mapInArrow(work, "number long, file string, ids long"), f"{folder}/written")
+    before = F.expr("coalesce(sum(ids) over (order by number rows between unbounded preceding and 1 preceding), 0)")
+    return save(written.select("number", "file", before.alias("start"), "ids"), f"{folder}/manifest")
 
 
-def read_shards(spark, shards: list[tuple[str, int, int]]) -> DataFrame:
-    """doc_id, start (ids before the document in all shards), n_tokens, ids_crc32, read from the files."""
+def read_shards(manifest: DataFrame) -> DataFrame:
+    """doc_id, start (ids before the document in all shards), n_tokens, ids_crc32, read from the
+    shards of a manifest. Offsets come from selects on the boundaries."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
         for batch in batches:
             for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(doc, base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, at, ids in Shard(file).rows()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                rows = []
+                for doc, at, ids in Shard(file).rows():
+                    rows.append((doc, base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    if len(rows) == 1 << 16:
+                        yield batch_of(rows)
+                        rows = []
+                if rows:
+                    yield batch_of(rows)
 
-    files = spark.createDataFrame([s[:2] for s in shards], "file string, base long")
-    return files.repartition(max(1, len(shards))).mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    shards = max(1, manifest.count())
+    return manifest.select("file", "start").repartitionByRange(shards, "start").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,5 +230,4 @@ def token_output(docs: DataFrame, tokenizer: str, end_id: int, wide: bool = Fals
 
     An empty table gives no shard and no row. Columns other than the two named are not read.
     """
-    spark = docs.sparkSession
-    return read_shards(spark, write_shards(docs, tokenizer, end_id, f"{work_dir(spark, 'shards')}", wide, id_col, text_col))
+    return read_shards(write_shards(docs, tokenizer, end_id, work_dir(docs.sparkSession, "shards"), wide, id_col, text_col))

@@ -3,7 +3,8 @@
 Both vocabularies split a text before they merge. Where that split is certain from ASCII classes
 and Latin letters it is done here on whole batches of bytes, so that each distinct piece goes to
 the library's merges once and a bounded cache keeps the result; any other chunk, or text with
-white space outside ASCII, goes to the library as it is. The ids are those of the whole text.
+white space outside ASCII or with the string of a special token, goes to the library as it is. The
+ids are those that the library gives for the whole text, by default with special tokens of its own.
 """
 
 from __future__ import annotations
@@ -99,14 +100,18 @@ class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     A vocabulary with a normalizer lower-cases and drops white space; one without keeps it.
-    pieces: how many pieces the cache may hold before it starts anew.
+    pieces: how many pieces the cache may hold before it starts anew. plain: the strings of special
+    tokens in a text are ordinary text; else, as in the library, they become those tokens.
     """
 
-    def __init__(self, path: str, pieces: int = 300_000):
+    def __init__(self, path: str, pieces: int = 300_000, plain: bool = False):
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
-            self.spaced = json.load(f)["normalizer"] is None
+            about = json.load(f)
+        self.spaced = about["normalizer"] is None
+        added = [re.escape(t["content"]) for t in about["added_tokens"]]
+        self.special = re.compile("|".join(added), re.I) if added and not plain else None
         self.bare = Tokenizer(self.whole.model)
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # the library shows its alphabet: the signs for U+0000 to U+00FF give those of all bytes but a few that no text has
@@ -120,7 +125,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Of each text the ids, then end_id."""
         raw = [t.encode("utf-8", "replace") for t in texts]
-        alone = {i: packed(self.whole.encode(t, add_special_tokens=False).ids) + packed([end_id]) for i, t in enumerate(texts) if not t.isascii() and ODD_SPACE.search(t)}
+        alone = {i: packed(self.whole.encode(t, add_special_tokens=False).ids) + packed([end_id]) for i, t in enumerate(texts) if self.goes_whole(t)}
         mark = bytes([MARK])
         buf = np.frombuffer(mark.join(b"" if i in alone else x for i, x in enumerate(raw)) + mark, np.uint8)
         starts, kept = runs(buf, self.spaced)
@@ -145,6 +150,9 @@ class ChunkEncoder:
         cuts = [0, *done.tolist()]
         return [alone.get(i) or out[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
 
+    def goes_whole(self, text: str) -> bool:
+        return (not text.isascii() and ODD_SPACE.search(text) is not None) or (self.special is not None and self.special.search(text) is not None)
+
     def learn(self, words: list[bytes]) -> None:
         odd = [w for w in words if ODD_CHUNK.search(w)]
         aside = set(odd)

@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -13,29 +14,32 @@ SCHEMA = "doc_id long, text string"
 HARD = ["", " ", "  a  b ", "don't stop\tnow\n\n x", "é́ ﬁ İstanbul ß", "a\u00a0  b\u2003 c", "<|endoftext|> hi <|startoftext|>", "日本語, 123 45.6 ½ ²", "x\x1cy \x1f z\x00", "a  \n b\r\n\r\nc   ", "ΑΣ ΣΑΣ", "😀 hi😀\u200dx", "'s 't 'S it'S", "µm ªº × ÷ À×É", "a\u0085b", " 's"]
 
 
+@pytest.mark.parametrize("plain", [False, True])
 @pytest.mark.parametrize("path", [WORD, BYTE])
-def test_ids_are_the_library_s(path):
+def test_ids_are_the_library_s(path, plain):
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    if plain:
+        whole.encode_special_tokens = True
     rng = random.Random(1)
-    texts = HARD + ["".join(rng.choice("ab'sS \n\t .,é 日1½́<|> É×2\x00\x1c\u00a0") for _ in range(rng.randint(0, 30))) for _ in range(2000)]
-    encoder = tokens.ChunkEncoder(path, pieces=500)  # the cache starts anew many times
+    texts = HARD + ["a <|endoftext|> b", "<|endoftext|><|startoftext|>", "<|ENDOFTEXT|> x", "x<|endoftext|>y " * 50, "<|endof text|>", "<|endoftext|", "é<|endoftext|>  \n"] + ["".join(rng.choice("ab'sS \n\t .,é 日1½́<|> É×2\x00\x1c\u00a0") for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    encoder = tokens.ChunkEncoder(path, pieces=500, plain=plain)  # the cache starts anew many times
     for i in range(0, len(texts), 300):
         part = texts[i : i + 300]
         want = [np.array([*e.ids, 7], "<u4").tobytes() for e in whole.encode_batch(part, add_special_tokens=False)]
         assert encoder.encode(part, 7) == want
 
 
+library = cache(Tokenizer.from_file)
+
+
 def plain_ids(path, text, end):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, end]
+    return [*library(path).encode(text or "", add_special_tokens=False).ids, end]
 
 
 def rows_of(seed=2, n=300):
     rng = random.Random(seed)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma,", "x"]) for _ in range(int(rng.expovariate(0.05))))) for i in range(n)]
-    return rows + [(1000, None), (1001, ""), (1002, "long word " * 300), (1002, "long word " * 300), (None, "no id"), (None, None)]
+    return rows + [(1000, None), (1001, ""), (1003, "a <|endoftext|> b"), (1002, "long word " * 300), (1002, "long word " * 300), (None, "no id"), (None, None)]
 
 
 def test_packing(spark):
@@ -85,7 +89,13 @@ def test_empty_tables(spark):
 def test_elias_fano(values):
     ef = token_output.EliasFano.of(np.array(values, np.int64))
     back = token_output.EliasFano.read(ef.about(), b"".join(ef.parts()))
-    assert back.all().tolist() == values and [back.get(i) for i in range(len(values))] == values
+    assert back.span(0, len(values)).tolist() == values and [back.get(i) for i in range(len(values))] == values
+    rng = random.Random(1)
+    for _ in range(50 if values else 0):
+        i, j = sorted((rng.randint(0, len(values)), rng.randint(0, len(values))))
+        assert back.span(i, j).tolist() == values[i:j]
+        if i < len(values):
+            assert back.last_up_to(values[i] + j, i) == max(k for k in range(i, len(values)) if values[k] <= values[i] + j)
     if len(values) > 1000:
         assert sum(ef.about()["sizes"]) * 8 < len(values) * (2.5 + np.log2(values[-1] / len(values)))
     with pytest.raises(IndexError):
@@ -95,8 +105,10 @@ def test_elias_fano(values):
 def test_token_output(spark, tmp_path):
     rows = rows_of()
     df = spark.createDataFrame(rows, SCHEMA).withColumn("start", token_output.F.lit("clash")).repartition(5)
-    shards = token_output.write_shards(df, BYTE, 2, f"file://{tmp_path}/shards")
-    got = token_output.read_shards(spark, shards).collect()
+    token_output.write_shards(df, BYTE, 2, f"file://{tmp_path}/shards")
+    manifest = spark.read.parquet(f"{tmp_path}/shards/manifest")  # all that a reader needs to know
+    got = token_output.read_shards(manifest).collect()
+    shards = [r.file for r in manifest.orderBy("start").collect()]
     want = sorted((i if i is not None else -1, plain_ids(BYTE, t, 2)) for i, t in rows)
     got.sort(key=lambda r: r.start)
     assert [r.doc_id if r.doc_id is not None else -1 for r in got] == [i for i, _ in want]
@@ -105,10 +117,11 @@ def test_token_output(spark, tmp_path):
     for r in got:
         assert r.start == at
         at += r.n_tokens
-    shard = token_output.Shard(shards[0][0])
+    shard = token_output.Shard(shards[0])
     for i, (_, start, ids) in enumerate(shard.rows(step=50)):
         assert shard.ids(i).tolist() == ids.tolist() and start == shard.ends.get(i)
-    damaged = bytearray(token_output.open_input(shards[0][0]).read())
+    assert [shard.ends.get(i + 1) - shard.ends.get(i) for i in range(len(shard))] == [len(ids) for _, _, ids in shard.rows()]
+    damaged = bytearray(token_output.open_input(shards[0]).read())
     damaged[3] ^= 1
     (tmp_path / "bad").write_bytes(damaged)
     with pytest.raises(ValueError, match="checksum"):
