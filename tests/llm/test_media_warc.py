@@ -1,4 +1,6 @@
+import glob
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -7,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenaudit.llm import media, warc
+from lumenaudit.llm import media, queries, store, warc
 
 TEXTS = [(0, "hello"), (1, "hello"), (2, None), (3, ""), (4, "é" * 500), (5, "x" * 64), (6, "long text " * 50_000), (None, "no id"), (6, "long text " * 50_000)]
 
@@ -65,10 +67,62 @@ def test_feature_is_stable():
     image = np.add.outer(np.arange(96), np.arange(64)).astype(np.uint8)
     noisy = np.clip(image.astype(int) + rng.integers(-2, 3, image.shape), 0, 255).astype(np.uint8)
     far = rng.integers(0, 256, image.shape, dtype=np.uint8)
-    bits = lambda a, b: (int(media.cosine_hash(a), 16) ^ int(media.cosine_hash(b), 16)).bit_count()
+    bits = lambda a, b: (int.from_bytes(media.cosine_hash(a)) ^ int.from_bytes(media.cosine_hash(b))).bit_count()
     assert bits(image, noisy) < bits(image, far)
 
 
+def plain_hash(image):
+    """By the definition of the cosine transform, cell by cell."""
+    rows, columns = image.shape
+
+    def cell(i, n):
+        return range(i * n // 32, max(i * n // 32 + 1, (i + 1) * n // 32))
+
+    grid = [[sum(int(image[y][x]) for y in cell(i, rows) for x in cell(j, columns)) / (len(cell(i, rows)) * len(cell(j, columns))) for j in range(32)] for i in range(32)]
+    terms = []
+    for u in range(8):
+        for v in range(8):
+            wave = [[math.cos(math.pi * u * (2 * i + 1) / 64) * math.cos(math.pi * v * (2 * j + 1) / 64) for j in range(32)] for i in range(32)]
+            terms.append(0.0 if u == v == 0 else sum(grid[i][j] * wave[i][j] for i in range(32) for j in range(32)))
+    most = max(map(abs, terms))
+    steps = [round(t * 256 / most) if most > 1e-6 else 0 for t in terms]
+    middle = sorted(steps)
+    bits = "".join(str(int(s > (middle[31] + middle[32]) / 2)) for s in steps)
+    return int(bits, 2).to_bytes(8)
+
+
+def test_hash_by_its_definition():
+    rng = np.random.default_rng(3)
+    for rows, columns in ((1, 64), (7, 64), (40, 64), (200, 64)):
+        for _ in range(2):
+            image = rng.integers(0, 256, (rows, columns), dtype=np.uint8)
+            assert media.cosine_hash(image) == plain_hash(image)
+
+
+def test_flat_images_have_no_terms():
+    for value in (0, 120, 121, 255):
+        assert media.cosine_hash(np.full((5, 64), value, np.uint8)) == bytes(8)
+
+
+def test_query_reads_the_stored_table(spark, tmp_path):
+    """What the query returns is read from the images in a Parquet table, with binary columns."""
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("media", F.lit("clash"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = set(tables(spark))
+    rows = queries.op9_media_columns(spark, str(tmp_path)).collect()
+    (folder,) = set(tables(spark)) - before
+    stored = spark.read.parquet(folder)
+    assert dict(stored.dtypes) == {"doc_id": "bigint", "n_bytes": "bigint", "media": "binary", "hash": "binary"}
+    assert sorted((str(r.doc_id), r.media_sha256, r.feature) for r in rows) == sorted((str(r.doc_id), hashlib.sha256(r.media).hexdigest(), bytes(r.hash).hex()) for r in stored.collect())
+    damaged = stored.withColumn("hash", F.lit(b"12345678"))
+    with pytest.raises(Exception, match="another hash"):
+        media.read_media(damaged).collect()
+
+
+def tables(spark):
+    return glob.glob(f"{store.base_dir(spark).removeprefix('file://')}/lumenaudit/media-*/images")
+
+
 def pages():
     rng = random.Random(1)
     big = "<p>%s</p>" % ("copy " * 400)

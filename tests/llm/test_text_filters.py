@@ -122,23 +122,25 @@ def contamination_cases():
     return docs + [(100, None), (101, ""), (102, everything), (102, everything), (None, items[4][1])], items
 
 
-def test_contamination(spark, monkeypatch):
+def test_contamination(spark):
     docs, items = contamination_cases()
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     b = spark.createDataFrame(items, "item_id long, text string")
     want = plain_contained(docs, items)
     got = sorted(((r.doc_id, r.item_id, r.shared, r.n_item) for r in contamination.contained(d, b).collect()), key=str)
     assert got == want and len(want) > 50
-    blocks = contamination.with_hits(d.select("doc_id", "text"), b, block=7).selectExpr("doc_id", "inline(benchmark_hits)").collect()
-    assert sorted(map(tuple, blocks), key=str) == want
+    clashing = d.withColumns({"text_key": F.lit(1), "benchmark_hits": F.lit(2), "hits": F.lit(3)})
+    routed = contamination.with_hits(clashing, b, block=7)  # too many items to be broadcast
+    assert routed.columns == [c for c in clashing.columns if c != "benchmark_hits"] + ["benchmark_hits"] and routed.count() == len(docs)
+    assert sorted(map(tuple, routed.selectExpr("doc_id", "inline(benchmark_hits)").collect()), key=str) == want
+    assert contamination.contained(d.where("false"), b, block=7).count() == 0
     assert contamination.contained(d, b.where("false")).count() == 0 and contamination.contained(d.where("false"), b).count() == 0
 
 
 def test_bands_miss_almost_nothing():
-    s = contamination.Searcher([(1, "a b c d e f g")], 5, 0.8)
     for largest in (1, 2, 4, 64):
         for n in (1, 3, 10, 50):
-            bands = s.bands(largest, n)
+            bands = contamination.bands(0.8, largest, n)
             jaccard = min(1.0, 0.8 * n / (largest + n * 0.2))
             assert bands == 0 or (1 - jaccard) ** bands <= contamination.MISSED
 
