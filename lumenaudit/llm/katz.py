@@ -2,10 +2,15 @@
 
 Documents are kept as blocks of token numbers in the shared folder. For each order, every block
 sends its distinct n-grams, with their counts in training documents, to the partition of their
-context; the partition adds counts up and returns, to the blocks that asked, the total of each
-n-gram and what the backoff weight of each context needs. These replies are the model's partitioned
-tables. A block then evaluates P(w | h) = d c(hw) / c(h), or alpha(h) P(w | shorter h), for each of
-its tokens. A context that is frequent is split over several partitions and its parts are added.
+context; the partition adds counts up, stores them as its part of the model, and returns, to the
+blocks that asked, the total of each n-gram and what the backoff weight of each context needs. A
+block then evaluates P(w | h) = d c(hw) / c(h), or alpha(h) P(w | shorter h), for each of its tokens.
+A context that is frequent is split over several partitions and its parts are added.
+
+The model is a folder of tables: ``level-n`` has a row for each partition, with its contexts, their
+followers, total counts and lower-order probabilities; ``weights-n`` has a row for each context with
+its backoff weight; ``about`` has the order and the number of partitions. New texts are scored from
+them alone.
 
 Words are told apart by a 64-bit hash, followers of one context by 48 bits of it. Vocabulary, counts
 and counts of counts cover all training documents; unseen words are one outcome, ``unk``.
@@ -21,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +39,8 @@ START_HASH = xxhash.xxh64_intdigest(b"\xff start")
 LOW48, GHOST = (1 << 48) - 1, (1 << 48) - 1
 BLOCK_CHARS = 8 << 20
 ASK = "part int, block string, data binary"
-REPLY = "level int, part int, block string, data binary, nums array<bigint>"
+MODEL = "nums array<bigint>, context array<bigint>, followers array<int>, word array<bigint>, total array<bigint>, lower array<double>"
+REPLY = f"level int, part int, block string, data binary, {MODEL}"
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -291,16 +298,21 @@ def lacking(totals: np.ndarray, starts: np.ndarray, stats: np.ndarray) -> np.nda
     return np.add.reduceat((totals > 0).astype(np.int64), starts) < stats[: LAST + 1].sum(0)
 
 
-def katz(totals: np.ndarray, stats: np.ndarray, context: np.ndarray, lower: np.ndarray, discount: Discount) -> np.ndarray:
-    """P of n-grams; stats: of each context."""
+def backoff(stats: np.ndarray, discount: Discount) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts with these statistics: the total count, the backoff weight, and whether half a count
+    of each follower is set free because none is discounted."""
     small, kinds, above = stats[:, :LAST], stats[:, LAST], stats[:, LAST + 1]
     rank = np.arange(1, LAST + 1)
     of = small @ rank + above
-    there = np.maximum(of, 1)
     half = small.sum(1) == 0
     kept = np.where(half, above - 0.5 * kinds, small @ (rank * discount.factor[1:]) + above)
-    alpha = np.where(of > 0, (1 - kept / there) / (1 - stats[:, -1]), 1.0)
-    return np.where(totals > 0, discount.kept(totals, half[context]) / there[context], alpha[context] * lower)
+    return of, np.where(of > 0, (1 - kept / np.maximum(of, 1)) / (1 - stats[:, -1]), 1.0), half
+
+
+def katz(totals: np.ndarray, stats: np.ndarray, context: np.ndarray, lower: np.ndarray, discount: Discount) -> np.ndarray:
+    """P of n-grams; stats: of each context."""
+    of, alpha, half = backoff(stats, discount)
+    return np.where(totals > 0, discount.kept(totals, half[context]) / np.maximum(of, 1)[context], alpha[context] * lower)
 
 
 def context_stats(starts: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -313,34 +325,59 @@ def summary(totals: np.ndarray) -> list[int]:
     return [*(int((totals == r).sum()) for r in range(1, LAST + 2)), int(totals.sum()), int((totals > 0).sum())]
 
 
-def reply_rows(level: int, part: int, rows: list[tuple[str, bytes]], nums: list[int]) -> pa.Table:
-    blocks, data = [b for b, _ in rows] + [""], [d for _, d in rows] + [b""]
-    kinds = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("block", pa.string()), ("data", pa.binary()), ("nums", pa.list_(pa.int64()))])
-    return pa.table([[level] * len(blocks), [part] * len(blocks), blocks, data, [None] * len(rows) + [nums]], schema=kinds)
+#: A partition's row of the model, as arrays: contexts, followers of each, words, totals, lower P.
+Stored = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+KINDS = [("context", np.int64, pa.int64()), ("followers", np.int64, pa.int32()), ("word", np.int64, pa.int64()), ("total", np.int64, pa.int64()), ("lower", np.float64, pa.float64())]
+SCHEMA = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("block", pa.string()), ("data", pa.binary()), ("nums", pa.list_(pa.int64())), *((name, pa.list_(kind)) for name, _, kind in KINDS)])
+
+
+def reply_rows(level: int, part: int, rows: list[tuple[str, bytes]], nums: list[int] | None, kept: Stored | None) -> pa.Table:
+    """One row for each block, and unless the model is there already its row, without a block."""
+    blocks, data, told = [b for b, _ in rows], [d for _, d in rows], [None] * len(rows)
+    columns = [[None] * len(rows) for _ in KINDS]
+    if kept is not None:
+        blocks, data, told = [*blocks, ""], [*data, b""], [*told, nums]
+        columns = [[*c, a.view(np.int64) if a.dtype == np.uint64 else a] for c, a in zip(columns, kept)]
+    return pa.table([[level] * len(blocks), [part] * len(blocks), blocks, data, told, *columns], schema=SCHEMA)
 
 
-def merge_words(key, table):
-    """Adds up the counts that blocks sent for the words of one partition."""
+def stored_row(table: pa.Table) -> Stored | None:
+    if not table.num_rows:
+        return None
+    return tuple(table.column(name)[0].values.to_numpy(zero_copy_only=False).astype(kind) for name, kind, _ in KINDS)
+
+
+def merge_words(key, table, stored=None):
+    """Adds up the counts that blocks sent for the words of one partition, and what is stored of them."""
     blocks = table.column("block").to_pylist()
     sent = [unpacked(d, "<u8", "<i8") for d in table.column("data").to_pylist()]
-    _, place = np.unique(np.concatenate([k for k, _ in sent]), return_inverse=True)
-    totals = np.bincount(place, np.concatenate([c for _, c in sent])).astype(np.int64)
-    cuts = np.cumsum([len(k) for k, _ in sent])[:-1]
+    known = [] if stored is None else [(stored[2].view(np.uint64), stored[3])]
+    words, place = np.unique(np.concatenate([k for k, _ in sent + known]), return_inverse=True)
+    totals = np.bincount(place, np.concatenate([c for _, c in sent + known])).astype(np.int64)
+    cuts = np.cumsum([len(k) for k, _ in sent])
     rows = [(b, packed(totals[p])) for b, p in zip(blocks, np.split(place, cuts))]
-    return reply_rows(1, key[0].as_py(), rows, summary(totals))
+    if stored is not None:
+        return reply_rows(1, key[0].as_py(), rows, None, None)
+    seen, none = totals > 0, np.zeros(0)
+    return reply_rows(1, key[0].as_py(), rows, summary(totals), (none.astype(np.int64), none.astype(np.int64), words[seen], totals[seen], none))
 
 
 def merge_grams(level: int, words: Discount):
-    def merge(key, table):
+    def merge(key, table, stored=None):
         blocks = table.column("block").to_pylist()
         contexts, grams, counts, lowers, sizes, heads = [], [], [], [], [], []
+
+        def take(context, run, word, count, lower) -> None:
+            for held, x in zip((contexts, grams, counts, lowers, sizes, heads), (np.repeat(context, run), word, count, lower, len(count), np.cumsum(run) - run)):
+                held.append(x)
+
         for data in table.column("data").to_pylist():
             context, run, word, count, lower = unpacked(data, "<u8", "<i8", "u1", "<i8", "<i8" if level == 2 else "<f8")
             wide = np.zeros((len(count), 8), np.uint8)
             wide[:, :6] = word.reshape(-1, 6)
-            lower = words.words(lower) if level == 2 else lower
-            for held, x in zip((contexts, grams, counts, lowers, sizes, heads), (np.repeat(context, run), wide.view("<u8").ravel(), count, lower, len(count), np.cumsum(run) - run)):
-                held.append(x)
+            take(context, run, wide.view("<u8").ravel(), count, words.words(lower) if level == 2 else lower)
+        if stored is not None:
+            take(stored[0].view(np.uint64), stored[1], stored[2].view(np.uint64), *stored[3:])
         context, word, count, lower = map(np.concatenate, (contexts, grams, counts, lowers))
         del contexts, grams, counts, lowers
         order = np.lexsort((word, context))
@@ -351,7 +388,8 @@ def merge_grams(level: int, words: Discount):
         totals = np.bincount(place, count).astype(np.int64)
         low = np.zeros(len(totals))
         low[place] = lower
-        starts = runs_of(context[new])
+        context, word = context[new], word[new]
+        starts = runs_of(context)
         stats = context_stats(starts, totals, low)
         owner = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(totals)))
         rows, at = [], 0
@@ -360,18 +398,51 @@ def merge_grams(level: int, words: Discount):
             of = stats[:, owner[own[head]]]
             rows.append((b, packed(totals[own], of[:-1].astype(np.int64).ravel(), of[-1, lacking(totals[own], head, of)])))
             at += n
-        return reply_rows(level, key[0].as_py(), rows, summary(totals))
+        if stored is not None:
+            return reply_rows(level, key[0].as_py(), rows, None, None)
+        seen = totals > 0  # the rest are n-grams of held-out texts and ghosts
+        heads = runs_of(context[seen])
+        kept = context[seen][heads], np.diff(heads, append=int(seen.sum())), word[seen], totals[seen], low[seen]
+        return reply_rows(level, key[0].as_py(), rows, summary(totals), kept)
 
     return merge
 
 
+def from_asks(merge):
+    """For a partition's asks alone: its row of the model is made of them."""
+
+    def work(key, asks):
+        return merge(key, asks)
+
+    return work
+
+
+def beside_stored(merge):
+    """The same for a partition's asks and its stored row."""
+
+    def work(key, asks, model):
+        if not asks.num_rows:
+            return SCHEMA.empty_table()
+        row = stored_row(model)
+        none = np.zeros(0, np.int64)
+        return merge(key, asks, (none, none, none, none, np.zeros(0)) if row is None else row)
+
+    return work
+
+
 def write_blocks(docs: DataFrame, folder: str, parts: int) -> DataFrame:
-    """Writes blocks and yields what they ask for at level 1. Input: doc_id, text, held."""
+    """Writes blocks and yields what they ask for at level 1. Input: doc_id, text, held.
+
+    A block is named by its partition, its number there and its content, so that a task that is run
+    again gives the same names.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+
         def flush() -> Iterator[pa.RecordBatch]:
             block = Block.of(*rows)
-            put(uri := f"{folder}/blocks/{xxhash.xxh3_128_hexdigest(data := block.dump())}-{len(block.tokens)}-{next_name()}", data)
+            put(uri := f"{folder}/blocks/{part:07d}-{n:05d}-{xxhash.xxh3_128_hexdigest(data := block.dump())}-{len(block.tokens)}", data)
             asks = list(Model(block, parts, []).asks())
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in asks], pa.int32()), pa.array([uri] * len(asks)), pa.array([d for _, d in asks], pa.binary())], ["part", "block", "data"])
 
@@ -383,20 +454,13 @@ def write_blocks(docs: DataFrame, folder: str, parts: int) -> DataFrame:
                 size += len(row[1] or "")
                 if size >= BLOCK_CHARS:
                     yield from flush()
-                    rows, size = ([], [], []), 0
+                    rows, size, n = ([], [], []), 0, n + 1
         if rows[0]:
             yield from flush()
 
     return docs.mapInArrow(work, ASK)
 
 
-def next_name() -> str:
-    """Equal blocks of different tasks have names of their own."""
-    from pyspark import TaskContext
-
-    return f"{TaskContext.get().taskAttemptId()}"
-
-
 def replies_of(table: pa.Table) -> tuple[str, dict[int, dict[int, bytes]]]:
     out: dict[int, dict[int, bytes]] = {}
     for level, part, data in zip(*(table.column(c).to_pylist() for c in ("level", "part", "data"))):
@@ -406,7 +470,8 @@ def replies_of(table: pa.Table) -> tuple[str, dict[int, dict[int, bytes]]]:
 
 def answers(replies: list[DataFrame], parts: int):
     """Replies by block. Dealt by number, not by size: the work is in the blocks they are for."""
-    return reduce(DataFrame.unionAll, replies).where("block != ''").repartition(parts, "block").groupBy("block")
+    told = [r.select("level", "part", "block", "data") for r in replies]
+    return reduce(DataFrame.unionAll, told).where("block != ''").repartition(parts, "block").groupBy("block")
 
 
 def up_to(uri: str, replies: dict[int, dict[int, bytes]], parts: int, discounts: list[Discount]) -> Model:
@@ -418,36 +483,20 @@ def up_to(uri: str, replies: dict[int, dict[int, bytes]], parts: int, discounts:
     return model
 
 
-def score_documents(docs: DataFrame, held: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
+def asks_after(replies: list[DataFrame], parts: int, discounts: list[Discount]) -> DataFrame:
+    """What blocks ask for at the next level."""
 
-    Learns from rows where ``held`` is false; scores are log10 of the text's probability, ends
-    included. base_score: add-one unigrams over the vocabulary and one unseen outcome. Null texts
-    are empty, which leaves the end; a null ``held`` is false; repeated rows count each. An empty
-    table gives no rows, and without training rows every token has probability 1.
-    """
-    folder = work_dir(docs.sparkSession, "katz")
-    parts = parts or max(1, -(-estimated_bytes(docs) // (8 * MB)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
-    asks = write_blocks(rows, folder, parts)
-    replies, discounts = [], []
-    for n in range(1, order + 1):
-        if n > 1:
-            known = list(discounts)
+    def ask(table):
+        uri, got = replies_of(table)
+        model = up_to(uri, got, parts, discounts)
+        model.next_level()
+        sent = list(model.asks())
+        return pa.table([pa.array([p for p, _ in sent], pa.int32()), pa.array([uri] * len(sent)), pa.array([d for _, d in sent], pa.binary())], ["part", "block", "data"])
 
-            def ask(table):
-                uri, got = replies_of(table)
-                model = up_to(uri, got, parts, known)
-                model.next_level()
-                sent = list(model.asks())
-                return pa.table([pa.array([p for p, _ in sent], pa.int32()), pa.array([uri] * len(sent)), pa.array([d for _, d in sent], pa.binary())], ["part", "block", "data"])
+    return answers(replies, parts).applyInArrow(ask, ASK)
 
-            asks = answers(replies, parts).applyInArrow(ask, ASK)
-        reply = asks.groupBy("part").applyInArrow(merge_words if n == 1 else merge_grams(n, discounts[0]), REPLY)
-        replies.append(save(reply, f"{folder}/level-{n}"))
-        nums = dict(replies[-1].where("block = ''").select(F.posexplode("nums")).groupBy("pos").agg(F.sum("col")).collect())
-        discounts.append(Discount([nums.get(i, 0) for i in range(LAST + 3)]))
 
+def scores(replies: list[DataFrame], parts: int, discounts: list[Discount]) -> DataFrame:
     def evaluate(table):
         uri, got = replies_of(table)
         model = up_to(uri, got, parts, discounts)
@@ -460,3 +509,79 @@ def score_documents(docs: DataFrame, held: Column, order: int = 2, id_col: str =
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return answers(replies, parts).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def discount_of(level: DataFrame) -> Discount:
+    """From the counts of counts that all partitions of a level have stored."""
+    nums = dict(level.where("block = ''").select(F.posexplode("nums")).groupBy("pos").agg(F.sum("col")).collect())
+    return Discount([nums.get(i, 0) for i in range(LAST + 3)])
+
+
+def weights_of(level: DataFrame, discount: Discount) -> DataFrame:
+    """context, total, alpha: the exactly normalised backoff weight of each context of a level."""
+    names = [f"s{i}" for i in range(STATS)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                context, followers, _, total, lower = stored_row(pa.table(batch.slice(i, 1)))
+                if len(context):
+                    stats = context_stats(np.cumsum(followers) - followers, total, lower)
+                    yield pa.RecordBatch.from_arrays([pa.array(context), *map(pa.array, stats)], ["context", *names])
+
+    def alpha(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, alpha, _ = backoff(np.array([c.to_numpy() for c in batch.columns[1:]]).T, discount)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of.astype(np.int64)), pa.array(alpha)], ["context", "total", "alpha"])
+
+    parts = level.where("block = ''").select(*(name for name, *_ in KINDS)).mapInArrow(work, "context long, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("context").agg(*[F.sum(n).alias(n) for n in names]).mapInArrow(alpha, "context long, total long, alpha double")
+
+
+def source_rows(docs: DataFrame, held: Column, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
+
+
+def score_documents(docs: DataFrame, held: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, model: str | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
+
+    Learns from rows where ``held`` is false; scores are log10 of the text's probability, ends
+    included. base_score: add-one unigrams over the vocabulary and one unseen outcome. Null texts
+    are empty, which leaves the end; a null ``held`` is false; repeated rows count each. An empty
+    table gives no rows, and without training rows every token has probability 1. Texts are scored
+    whole, a block of them at a time. model: the folder of the model's tables, by default one that
+    goes with the driver; see ``score_texts``.
+    """
+    spark = docs.sparkSession
+    folder = model or work_dir(spark, "katz")
+    parts = parts or max(1, -(-estimated_bytes(docs) // (8 * MB)))
+    asks = write_blocks(source_rows(docs, held, id_col, text_col), folder, parts)
+    replies, discounts = [], []
+    for n in range(1, order + 1):
+        if n > 1:
+            asks = asks_after(replies, parts, list(discounts))
+        merge = from_asks(merge_words if n == 1 else merge_grams(n, discounts[0]))
+        reply = asks.groupBy("part").applyInArrow(merge, REPLY)
+        replies.append(save(reply, f"{folder}/level-{n}"))
+        discounts.append(discount_of(replies[-1]))
+        if n > 1:
+            save(weights_of(replies[-1], discounts[-1]), f"{folder}/weights-{n}")
+    save(spark.createDataFrame([(order, parts)], "max_order int, parts int"), f"{folder}/about")
+    return scores(replies, parts, discounts)
+
+
+def score_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same columns for texts that nothing is learned from, by the tables of a stored model."""
+    spark = docs.sparkSession
+    order, parts = spark.read.parquet(f"{model}/about").first()
+    folder = work_dir(spark, "katz-texts")
+    stored = [spark.read.parquet(f"{model}/level-{n}") for n in range(1, order + 1)]
+    asks, replies, discounts = write_blocks(source_rows(docs, F.lit(True), id_col, text_col), folder, parts), [], []
+    for n, level in enumerate(stored, 1):
+        if n > 1:
+            asks = asks_after(replies, parts, list(discounts))
+        merge = beside_stored(merge_words if n == 1 else merge_grams(n, discounts[0]))
+        rows = level.where("block = ''").select("part", *(name for name, *_ in KINDS))
+        replies.append(save(asks.groupBy("part").cogroup(rows.groupBy("part")).applyInArrow(merge, REPLY), f"{folder}/level-{n}"))
+        discounts.append(discount_of(level))
+    return scores(replies, parts, discounts)

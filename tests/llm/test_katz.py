@@ -22,6 +22,29 @@ def words_of(text):
     return [*out, "</s>"]
 
 
+def plain_factors(values):
+    """Factors of counts 1 .. LAST, from the counts alone: Katz's formula on raw counts of counts, else
+    on their log-linear fit, else a fixed part of each count."""
+    n = [sum(v == r for v in values) for r in range(1, LAST + 2)]
+
+    def by_formula(n):
+        if 0 in n[:LAST] or (mu := (LAST + 1) * n[LAST] / n[0]) >= 1:
+            return None
+        d = [((r + 1) * n[r] / (r * n[r - 1]) - mu) / (1 - mu) for r in range(1, LAST + 1)]
+        return d if all(0 < x < 1 for x in d) else None
+
+    points = [(math.log(r), math.log(v)) for r, v in enumerate(n, 1) if v]
+    slope = 0.0
+    if len(points) > 1:
+        mx, my = (sum(p[i] for p in points) / len(points) for i in (0, 1))
+        slope = sum((x - mx) * (y - my) for x, y in points) / sum((x - mx) ** 2 for x, _ in points)
+    found = by_formula(n) or by_formula([r**slope for r in range(1, LAST + 2)])
+    if found:
+        return dict(enumerate(found, 1))
+    part = min(n[0] / (n[0] + 2 * n[1]), 0.9) if n[0] else 0.5
+    return {r: (r - part) / r for r in range(1, LAST + 1)}
+
+
 class Plain:
     def __init__(self, docs, order):
         self.order, self.counts = order, [Counter() for _ in range(order + 1)]
@@ -31,10 +54,7 @@ class Plain:
                 padded = ["<s>"] * (n - 1) + ws
                 for i in range(len(ws)):
                     self.counts[n][tuple(padded[i : i + n])] += 1
-        self.discounts = []
-        for n in range(1, order + 1):
-            values = self.counts[n].values()
-            self.discounts.append(katz.Discount([sum(v == r for v in values) for r in range(1, LAST + 2)] + [sum(values), len(values)]))
+        self.factors = [plain_factors(list(self.counts[n].values())) for n in range(1, order + 1)]
         self.followers = {}
         for n in range(2, order + 1):
             for g, c in self.counts[n].items():
@@ -42,19 +62,19 @@ class Plain:
 
     def p(self, w, h):
         if not h:
-            d, n = self.discounts[0], sum(self.counts[1].values())
+            d, n = self.factors[0], sum(self.counts[1].values())
             known = self.counts[1]
             if not n:
                 return 1.0
             half = not any(c <= LAST for c in known.values())
-            kept = lambda c: c - 0.5 if half else c * (d.factor[c] if c <= LAST else 1)
+            kept = lambda c: c - 0.5 if half else c * d.get(c, 1)
             return kept(known[(w,)]) / n if (w,) in known else 1 - sum(map(kept, known.values())) / n
         seen = self.followers.get(tuple(h))
         if not seen:
             return self.p(w, h[1:])
-        d, n = self.discounts[len(h)], sum(seen.values())
+        d, n = self.factors[len(h)], sum(seen.values())
         half = not any(c <= LAST for c in seen.values())
-        kept = lambda c: c - 0.5 if half else c * (d.factor[c] if c <= LAST else 1)
+        kept = lambda c: c - 0.5 if half else c * d.get(c, 1)
         if w in seen:
             return kept(seen[w]) / n
         alpha = (1 - sum(map(kept, seen.values())) / n) / (1 - sum(self.p(x, h[1:]) for x in seen))
@@ -95,6 +115,44 @@ def test_against_plain(spark, order, parts):
         assert r.score == pytest.approx(model.score(text), rel=1e-9)
 
 
+@pytest.mark.parametrize("order,parts", [(2, 4), (3, 5)])
+def test_new_texts_from_the_stored_model(spark, tmp_path, order, parts):
+    rows, folder = corpus(), f"file://{tmp_path}/model"
+    katz.score_documents(spark.createDataFrame(rows, SCHEMA).repartition(3), F.lit(False), order=order, parts=parts, model=folder)
+    model = Plain([t for _, t in rows], order)
+    new = [(1, "w0 w1 never w1 w1"), (2, None), (3, "all of it new"), (4, rows[20][1]), (4, rows[20][1]), (None, "w59 w0 w0 W0"), (6, rows[30][1] + " w1 new w2")]
+    got = katz.score_texts(spark.createDataFrame(new, SCHEMA).withColumn("held", F.lit("clash")).repartition(2), folder).collect()
+    want = sorted((str(i), len(words_of(t)), sum((w,) in model.counts[1] for w in words_of(t)), round(model.score(t), 9)) for i, t in new)
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.score, 9)) for r in got) == want
+    assert katz.score_texts(spark.createDataFrame([], SCHEMA), folder).count() == 0
+
+
+def test_stored_weights_are_normalised(spark, tmp_path):
+    """One weight for each context, parts of a split one added up; each is that of the plain model."""
+    rows, folder = corpus(), f"file://{tmp_path}/model"
+    katz.score_documents(spark.createDataFrame(rows, SCHEMA), F.lit(False), order=2, parts=6, model=folder)
+    model = Plain([t for _, t in rows], 2)
+    stored = {r.context % (1 << 64): r for r in spark.read.parquet(f"{folder}/weights-2").collect()}
+    parts = [r for r in spark.read.parquet(f"{folder}/level-2").where("block = ''").collect()]
+    assert len({c for r in parts for c in r.context}) == len(stored) < sum(len(r.context) for r in parts)  # some are split
+    contexts = {g[:-1] for g in model.counts[2]}
+    assert len(contexts) == len(stored)
+    for (w,) in contexts:
+        key = katz.START_HASH + 2 if w == "<s>" else katz.END_HASH if w == "</s>" else katz.xxhash.xxh64_intdigest(w)
+        seen = model.followers[(w,)]
+        alpha = (1 - sum(model.p(x, [w]) for x in seen)) / (1 - sum(model.p(x, []) for x in seen))
+        assert stored[key].total == sum(seen.values()) and stored[key].alpha == pytest.approx(alpha)
+
+
+def test_a_task_that_runs_again_gives_the_same_blocks(spark, tmp_path):
+    """As when an executor is lost after its blocks were asked for; equal blocks stay apart."""
+    df = spark.createDataFrame(corpus() * 2, SCHEMA).withColumn("held", F.lit(False)).coalesce(1).repartition(4, "doc_id")
+    first, again = (sorted(r.block for r in katz.write_blocks(df, f"file://{tmp_path}/b", 3).select("block").distinct().collect()) for _ in range(2))
+    assert first == again and len(first) >= 3
+    same = spark.range(2, numPartitions=2).selectExpr("cast(null as long) as doc_id", "'same text' as text", "false as held")
+    assert katz.write_blocks(same, f"file://{tmp_path}/c", 1).select("block").distinct().count() == 2
+
+
 def test_normalised():
     model = Plain([t for _, t in corpus()], 3)
     vocabulary = [g[0] for g in model.counts[1]] + ["unseen word"]
