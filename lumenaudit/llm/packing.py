@@ -22,8 +22,8 @@ from .store import save, work_dir
 from .tokens import encoded
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Pieces that one packing task takes: bins left open at its end are then under one in a hundred.
-TASK_PIECES = 50_000
+#: Pieces that one packing task takes: bins left open at its end are then few beside those it filled.
+TASK_PIECES = 200_000
 
 
 class Bins:
