@@ -5,9 +5,13 @@ blocks at least one is equal when three bits or fewer differ, and of the other 4
 of four 12-bit parts. Each shard is a BK-tree (children keyed by their Hamming distance to the
 parent); a search follows only edges within the radius, and passes over subtrees that already lie
 wholly in the component of the fingerprint searched for, so a dense group costs no square of its
-size. Trees stay where their shard is and queries are routed to them by the shared key: broadcasting
-them would send every fingerprint through the driver. A task returns a spanning forest of its links.
-Forests are joined by alternating large-star and small-star steps on tables.
+size. A task returns a spanning forest of its links. Forests are joined by alternating large-star
+and small-star steps on tables.
+
+A shard of up to CELL fingerprints is searched where its tree is built. A larger one is cut into
+chunks, each with a tree; trees are then broadcast, as files in the shared folder, to the tasks that
+search them for the fingerprints of another chunk. So a tree is bounded in size, however dense a
+shard, and no fingerprint passes through the driver.
 """
 
 from __future__ import annotations
@@ -21,32 +25,31 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import save, work_dir
+from .store import drop, get, put, save, small, work_dir
 
 SEED = 42
 BLOCKS, PARTS = 4, 4
+#: Fingerprints of a tree at most; shingles hashed at once.
+CELL, PART = 8192, 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """A bit is 1 if it is set in over half of the hashes of all shingles, repeats included.
 
     Words are runs without ASCII white space, A-Z lower-cased. Fewer words than a shingle has are
-    one shingle; without words the fingerprint is 0.
+    one shingle; without words the fingerprint is 0. A long text is hashed in parts.
     """
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return 0
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        hashes = [h(joined, SEED)]
-    else:
-        starts = [0, *accumulate(len(w) + 1 for w in words)]
-        hashes = [h(joined[a : b - 1], SEED) for a, b in zip(starts, starts[shingle:])]
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[i : i + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    size = min(shingle, len(words))
+    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    n, counts = len(words) - size + 1, np.zeros(64, np.int64)
+    for i in range(0, n, PART):
+        part = np.fromiter((h(joined[a : b - 1], SEED) for a, b in zip(starts[i : i + PART], starts[i + size :])), "<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,6 +96,7 @@ class BKTree:
     def __init__(self, radius: int, links: Links):
         self.radius, self.links = radius, links
         self.values: list[int] = []
+        self.parents: list[int] = []
         self.children: list[dict[int, int]] = []
         self.mixed: list[bool] = []
         self.refresh = 64
@@ -126,17 +130,41 @@ class BKTree:
                 self.mixed[node] = True
             d = (v ^ x).bit_count()
             if d not in self.children[node]:
-                self.children[node][d] = new
                 break
             node = self.children[node][d]
+        self.hang(x, node)
+        if len(self.values) == self.refresh:
+            self.refresh *= 2
+            self.mark()
+
+    def hang(self, x: int, parent: int) -> None:
+        new = len(self.values)
+        if new:
+            self.children[parent][(self.values[parent] ^ x).bit_count()] = new
         self.values.append(x)
+        self.parents.append(parent)
         self.children.append({})
         self.mixed.append(False)
-        if len(self.values) == self.refresh:
-            self.refresh *= 2
-            for i in range(len(self.values) - 1, -1, -1):  # children come after their parent
-                own = find(self.values[i])
-                self.mixed[i] = any(self.mixed[c] or find(self.values[c]) != own for c in self.children[i].values())
+
+    def mark(self) -> None:
+        find = self.links.find
+        for i in range(len(self.values) - 1, -1, -1):  # children come after their parent
+            own = find(self.values[i])
+            self.mixed[i] = any(self.mixed[c] or find(self.values[c]) != own for c in self.children[i].values())
+
+    def dump(self) -> bytes:
+        """Values, their parents' places and the roots of their components."""
+        roots = [self.links.find(v) for v in self.values]
+        return np.array([self.values, self.parents, roots], "<u8").tobytes()
+
+    @classmethod
+    def load(cls, data: bytes, radius: int, links: Links) -> BKTree:
+        tree = cls(radius, links)
+        for x, parent, root in np.frombuffer(data, "<u8").reshape(3, -1).T.tolist():
+            tree.hang(x, parent)
+            links.join(x, root)
+        tree.mark()
+        return tree
 
 
 def shard_keys(fp: Column) -> Column:
@@ -152,42 +180,90 @@ def shard_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def link_shards(fps: DataFrame, radius: int) -> DataFrame:
-    """(u, v): spanning forests of the links within shards. radius: at most three."""
-    if radius >= BLOCKS:
-        raise ValueError("the shards find links of up to three bits")
+def forest(links: Links) -> Iterator[pa.RecordBatch]:
+    linked = list(links.parent)
+    for i in range(0, len(linked), 1 << 16):
+        part = linked[i : i + (1 << 16)]
+        roots = [links.find(x) for x in part]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) for c in (part, roots)], ["u", "v"])
+
+
+def build_trees(shards: DataFrame, radius: int, folder: str) -> DataFrame:
+    """Links within each chunk of a shard (u, v), and where the tree of one of several chunks is (key,
+    chunk, file). Input: key, chunk, chunks, fp."""
+    kinds = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("chunk", pa.int32()), ("file", pa.string())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links, tree, last = Links(), None, None
+        links, last = Links(), None
         held: list[int] = []
+        files: list[tuple[int, int, str]] = []
 
         def close() -> None:
-            if len(held) > 1:
+            if len(held) > 1 or (held and last[2] > 1):
                 tree = BKTree(radius, links)
                 for x in held:
                     tree.insert(x)
+                if last[2] > 1:
+                    data = tree.dump()
+                    put(uri := f"{folder}/trees/{last[0]}-{last[1]}-{xxhash.xxh3_64_hexdigest(data)}", data)
+                    files.append((last[0], last[1], uri))
             held.clear()
 
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            values = batch.column(1).to_numpy().view(np.uint64)
-            if not len(keys):
+            if not batch.num_rows:
                 continue
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            key, chunk, chunks, fp = (c.to_numpy() for c in batch.columns)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist(), len(key)]
             for a, b in zip(cuts, cuts[1:]):
-                if keys[a] != last:
+                if last is None or (key[a], chunk[a]) != last[:2]:
                     close()
-                    last = keys[a]
-                held.extend(values[a:b].tolist())
+                    last = int(key[a]), int(chunk[a]), int(chunks[a])
+                held.extend(fp[a:b].view(np.uint64).tolist())
         close()
-        linked = list(links.parent)
-        for i in range(0, len(linked), 1 << 16):
-            part = linked[i : i + (1 << 16)]
-            roots = [links.find(x) for x in part]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) for c in (part, roots)], ["u", "v"])
+        for part in forest(links):
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.nulls(part.num_rows, kind) for kind in kinds.types[2:])], schema=kinds)
+        if files:
+            where = [pa.array(c, kind) for c, kind in zip(zip(*files), kinds.types[2:])]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(files), pa.int64()), pa.nulls(len(files), pa.int64()), *where], schema=kinds)
+
+    dealt = shards.select("key", "chunk", "chunks", "fp").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "fp")
+    return dealt.mapInArrow(work, "u long, v long, key long, chunk int, file string")
+
 
+def search_trees(pairs: DataFrame, radius: int) -> DataFrame:
+    """(u, v): links between the trees in two files."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tree_file, other_file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                links = Links()
+                tree = BKTree.load(get(tree_file), radius, links)
+                values, _, roots = np.frombuffer(get(other_file), "<u8").reshape(3, -1).tolist()
+                for x, root in zip(values, roots):
+                    links.join(x, root)
+                for x in values:
+                    tree.search(x)
+                yield from forest(links)
+
+    return pairs.select("tree", "other").mapInArrow(work, "u long, v long")
+
+
+def link_shards(fps: DataFrame, radius: int, folder: str | None = None) -> DataFrame:
+    """(u, v): spanning forests of the links within shards. radius: at most three."""
+    if radius >= BLOCKS:
+        raise ValueError("the shards find links of up to three bits")
+    folder = folder or work_dir(fps.sparkSession, "shards")
     keyed = fps.select(F.explode(shard_keys(F.col("fp"))).alias("key"), "fp")
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(work, "u long, v long").where("u != v")
+    dense = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+    dense = save(dense.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("chunks")), f"{folder}/dense")
+    shards = keyed.join(small(dense), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    found = save(build_trees(shards.withColumn("chunk", F.expr("cast(pmod(xxhash64(fp), chunks) as int)")), radius, folder), f"{folder}/found")
+    links, trees = found.where("u != v").select("u", "v"), found.where("file is not null").select("key", "chunk", "file")
+    if dense.isEmpty():
+        return links
+    a, b = trees.select("key", F.col("chunk").alias("a"), F.col("file").alias("tree")), trees.select("key", F.col("chunk").alias("b"), F.col("file").alias("other"))
+    pairs = save(a.join(b, "key").where("a < b").select("tree", "other"), f"{folder}/pairs")  # of chunks, each of up to about CELL
+    return links.unionByName(search_trees(pairs.repartition(max(1, pairs.count())), radius).where("u != v"))
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -208,21 +284,24 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         large = save(large, f"{folder}/large-{n}")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{folder}/edges-{n}")
+        stars = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        edges = save(stars.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{folder}/edges-{n}")
+        for old in (f"large-{n}", f"edges-{n - 1}"):
+            drop(edges.sparkSession, f"{folder}/{old}")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links of up to ``radius`` bits reach.
 
     One row for each row of ``docs``, in any order. Null, empty and blank texts share fingerprint 0.
-    Rows with a null id take part; a component of null ids alone has a null component_id. An empty
-    table gives no rows; other columns are not read.
+    Rows with a null id take part; a component of null ids alone has a null component_id. Rows with
+    equal texts have equal components; a text is hashed whole, one at a time. An empty table gives
+    no rows; other columns are not read.
     """
     folder = work_dir(docs.sparkSession, "simhash")
     of_docs = save(fingerprints(docs, shingle, id_col, text_col), f"{folder}/fingerprints")
     fps = save(of_docs.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{folder}/distinct")
-    roots = components(link_shards(fps, radius), folder)
+    roots = components(link_shards(fps, radius, folder), folder)
     rooted = fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
     rooted = save(rooted, f"{folder}/rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

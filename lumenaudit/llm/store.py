@@ -118,8 +118,14 @@ class Sink:
         self.size += len(data)
 
     def commit(self) -> None:
+        """A file of that name that is there already is left by an earlier run of the same task."""
         self.out.close()
-        self.fs.move(self.temp, self.path)
+        try:
+            self.fs.move(self.temp, self.path)
+        except OSError:
+            if self.fs.get_file_info(self.path).type != pafs.FileType.File:
+                raise
+            self.fs.delete_file(self.temp)
 
     def abort(self) -> None:
         self.out.close()

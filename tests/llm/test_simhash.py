@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -52,8 +53,11 @@ def flip(rng, fp, n):
     return fp
 
 
-def test_links_are_those_of_brute_force(spark):
-    """Chains, dense groups and lone fingerprints; also far below and above a refreshed tree."""
+@pytest.mark.parametrize("cell", [simhash.CELL, 7])
+def test_links_are_those_of_brute_force(spark, monkeypatch, cell):
+    """Chains, dense groups and lone fingerprints; also far below and above a refreshed tree. With small
+    cells dense shards are cut, and their trees broadcast and searched for other chunks."""
+    monkeypatch.setattr(simhash, "CELL", cell)
     rng = random.Random(7)
     fps = []
     for _ in range(25):
@@ -68,13 +72,36 @@ def test_links_are_those_of_brute_force(spark):
     rng.shuffle(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
-    roots = {r.u: r.v for r in simhash.components(simhash.link_shards(df, 3), simhash.work_dir(spark, "t")).collect()}
+    folder = simhash.work_dir(spark, "t")
+    links = simhash.link_shards(df, 3, folder)
+    trees = spark.read.parquet(f"{folder}/found").where("file is not null")
+    assert trees.isEmpty() == (cell > 7) and (cell > 7 or spark.read.parquet(f"{folder}/pairs").count() > trees.count())
+    roots = {r.u: r.v for r in simhash.components(links, folder).collect()}
     got, groups = {}, plain_components(fps)
     for s, g in zip(signed, groups):
         got.setdefault(g, set()).add(roots.get(s, s))
     assert all(len(v) == 1 for v in got.values()) and len({next(iter(v)) for v in got.values()}) == len(set(groups))
 
 
+def test_a_tree_read_back_finds_what_it_found():
+    rng = random.Random(11)
+    center = rng.getrandbits(64)
+    values = [flip(rng, center, rng.randint(0, 9)) for _ in range(200)] + [rng.getrandbits(64) for _ in range(200)]
+    tree = simhash.BKTree(3, simhash.Links())
+    for v in dict.fromkeys(values):
+        tree.insert(v)
+    links = simhash.Links()
+    back = simhash.BKTree.load(tree.dump(), 3, links)
+    assert back.values == tree.values and back.children == tree.children
+    asked = [flip(rng, v, rng.randint(0, 6)) for v in values]
+    for x in asked:
+        back.search(x)
+    label = plain_components(all_ := list(dict.fromkeys([*tree.values])))
+    for x in asked:
+        near = {label[i] for i, v in enumerate(all_) if (v ^ x).bit_count() <= 3}
+        assert len({links.find(v) for i, v in enumerate(all_) if label[i] in near} | ({links.find(x)} if near else set())) <= 1 and (near or links.find(x) == x)
+
+
 def test_near_duplicates(spark):
     rng = random.Random(3)
     words = ["w%d" % i for i in range(200)]
