@@ -8,7 +8,7 @@ block then evaluates P(w | h) = d c(hw) / c(h), or alpha(h) P(w | shorter h), fo
 A context that is frequent is split over several partitions and its parts are added.
 
 The model is a folder of tables: ``level-n`` has a row for each partition, with its contexts, their
-followers, total counts and lower-order probabilities; ``weights-n`` has a row for each context with
+followers, total counts and what their lower-order probabilities follow from; ``weights-n`` has a row for each context with
 its backoff weight; ``about`` has the order and the number of partitions. New texts are scored from
 them alone.
 
@@ -39,8 +39,7 @@ START_HASH = xxhash.xxh64_intdigest(b"\xff start")
 LOW48, GHOST = (1 << 48) - 1, (1 << 48) - 1
 BLOCK_CHARS = 8 << 20
 ASK = "part int, block string, data binary"
-MODEL = "nums array<bigint>, context array<bigint>, followers array<int>, word array<bigint>, total array<bigint>, lower array<double>"
-REPLY = f"level int, part int, block string, data binary, {MODEL}"
+REPLY = "level int, part int, block string, data binary, nums array<bigint>, model binary"
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -325,41 +324,38 @@ def summary(totals: np.ndarray) -> list[int]:
     return [*(int((totals == r).sum()) for r in range(1, LAST + 2)), int(totals.sum()), int((totals > 0).sum())]
 
 
-#: A partition's row of the model, as arrays: contexts, followers of each, words, totals, lower P.
+#: A partition's row of the model: contexts, followers of each, words, total counts, and at level 2 the
+#: total counts of the words alone, above it their probability after the shorter context.
 Stored = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-KINDS = [("context", np.int64, pa.int64()), ("followers", np.int64, pa.int32()), ("word", np.int64, pa.int64()), ("total", np.int64, pa.int64()), ("lower", np.float64, pa.float64())]
-SCHEMA = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("block", pa.string()), ("data", pa.binary()), ("nums", pa.list_(pa.int64())), *((name, pa.list_(kind)) for name, _, kind in KINDS)])
+NONE = np.zeros(0, np.int64)
+SCHEMA = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("block", pa.string()), ("data", pa.binary()), ("nums", pa.list_(pa.int64())), ("model", pa.binary())])
 
 
-def reply_rows(level: int, part: int, rows: list[tuple[str, bytes]], nums: list[int] | None, kept: Stored | None) -> pa.Table:
+def reply_rows(level: int, part: int, rows: list[tuple[str, bytes]], nums: list[int] | None = None, kept: Stored | None = None) -> pa.Table:
     """One row for each block, and unless the model is there already its row, without a block."""
-    blocks, data, told = [b for b, _ in rows], [d for _, d in rows], [None] * len(rows)
-    columns = [[None] * len(rows) for _ in KINDS]
+    blocks, data, told, model = [b for b, _ in rows], [d for _, d in rows], [None] * len(rows), [None] * len(rows)
     if kept is not None:
-        blocks, data, told = [*blocks, ""], [*data, b""], [*told, nums]
-        columns = [[*c, a.view(np.int64) if a.dtype == np.uint64 else a] for c, a in zip(columns, kept)]
-    return pa.table([[level] * len(blocks), [part] * len(blocks), blocks, data, told, *columns], schema=SCHEMA)
+        blocks, data, told, model = [*blocks, ""], [*data, b""], [*told, nums], [*model, packed(*kept)]
+    return pa.table([[level] * len(blocks), [part] * len(blocks), blocks, data, told, model], schema=SCHEMA)
 
 
-def stored_row(table: pa.Table) -> Stored | None:
-    if not table.num_rows:
-        return None
-    return tuple(table.column(name)[0].values.to_numpy(zero_copy_only=False).astype(kind) for name, kind, _ in KINDS)
+def stored_row(level: int, data: bytes) -> Stored:
+    return tuple(unpacked(data, "<u8", "<i8", "<u8", "<i8", "<f8" if level > 2 else "<i8"))
 
 
 def merge_words(key, table, stored=None):
     """Adds up the counts that blocks sent for the words of one partition, and what is stored of them."""
     blocks = table.column("block").to_pylist()
     sent = [unpacked(d, "<u8", "<i8") for d in table.column("data").to_pylist()]
-    known = [] if stored is None else [(stored[2].view(np.uint64), stored[3])]
+    known = [] if stored is None else [stored[2:4]]
     words, place = np.unique(np.concatenate([k for k, _ in sent + known]), return_inverse=True)
     totals = np.bincount(place, np.concatenate([c for _, c in sent + known])).astype(np.int64)
     cuts = np.cumsum([len(k) for k, _ in sent])
     rows = [(b, packed(totals[p])) for b, p in zip(blocks, np.split(place, cuts))]
     if stored is not None:
-        return reply_rows(1, key[0].as_py(), rows, None, None)
-    seen, none = totals > 0, np.zeros(0)
-    return reply_rows(1, key[0].as_py(), rows, summary(totals), (none.astype(np.int64), none.astype(np.int64), words[seen], totals[seen], none))
+        return reply_rows(1, key[0].as_py(), rows)
+    seen = totals > 0
+    return reply_rows(1, key[0].as_py(), rows, summary(totals), (NONE.view(np.uint64), NONE, words[seen], totals[seen], NONE))
 
 
 def merge_grams(level: int, words: Discount):
@@ -375,9 +371,9 @@ def merge_grams(level: int, words: Discount):
             context, run, word, count, lower = unpacked(data, "<u8", "<i8", "u1", "<i8", "<i8" if level == 2 else "<f8")
             wide = np.zeros((len(count), 8), np.uint8)
             wide[:, :6] = word.reshape(-1, 6)
-            take(context, run, wide.view("<u8").ravel(), count, words.words(lower) if level == 2 else lower)
+            take(context, run, wide.view("<u8").ravel(), count, lower)
         if stored is not None:
-            take(stored[0].view(np.uint64), stored[1], stored[2].view(np.uint64), *stored[3:])
+            take(*stored)
         context, word, count, lower = map(np.concatenate, (contexts, grams, counts, lowers))
         del contexts, grams, counts, lowers
         order = np.lexsort((word, context))
@@ -386,11 +382,11 @@ def merge_grams(level: int, words: Discount):
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
         totals = np.bincount(place, count).astype(np.int64)
-        low = np.zeros(len(totals))
+        low = np.zeros(len(totals), lower.dtype)
         low[place] = lower
         context, word = context[new], word[new]
         starts = runs_of(context)
-        stats = context_stats(starts, totals, low)
+        stats = context_stats(starts, totals, words.words(low) if level == 2 else low)
         owner = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(totals)))
         rows, at = [], 0
         for b, n, head in zip(blocks, sizes, heads):
@@ -399,7 +395,7 @@ def merge_grams(level: int, words: Discount):
             rows.append((b, packed(totals[own], of[:-1].astype(np.int64).ravel(), of[-1, lacking(totals[own], head, of)])))
             at += n
         if stored is not None:
-            return reply_rows(level, key[0].as_py(), rows, None, None)
+            return reply_rows(level, key[0].as_py(), rows)
         seen = totals > 0  # the rest are n-grams of held-out texts and ghosts
         heads = runs_of(context[seen])
         kept = context[seen][heads], np.diff(heads, append=int(seen.sum())), word[seen], totals[seen], low[seen]
@@ -417,15 +413,14 @@ def from_asks(merge):
     return work
 
 
-def beside_stored(merge):
-    """The same for a partition's asks and its stored row."""
+def beside_stored(level: int, merge):
+    """For a partition's asks and its row of the model."""
 
     def work(key, asks, model):
         if not asks.num_rows:
             return SCHEMA.empty_table()
-        row = stored_row(model)
-        none = np.zeros(0, np.int64)
-        return merge(key, asks, (none, none, none, none, np.zeros(0)) if row is None else row)
+        none = NONE.view(np.uint64), NONE, NONE.view(np.uint64), NONE, NONE
+        return merge(key, asks, stored_row(level, model.column("model")[0].as_py()) if model.num_rows else none)
 
     return work
 
@@ -517,24 +512,25 @@ def discount_of(level: DataFrame) -> Discount:
     return Discount([nums.get(i, 0) for i in range(LAST + 3)])
 
 
-def weights_of(level: DataFrame, discount: Discount) -> DataFrame:
-    """context, total, alpha: the exactly normalised backoff weight of each context of a level."""
+def weights_of(level: DataFrame, n: int, discounts: list[Discount]) -> DataFrame:
+    """context, total, alpha: the exactly normalised backoff weight of each context of level ``n``."""
+    words, discount = discounts[0], discounts[n - 1]
     names = [f"s{i}" for i in range(STATS)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                context, followers, _, total, lower = stored_row(pa.table(batch.slice(i, 1)))
+            for data in batch.column(0).to_pylist():
+                context, followers, _, total, lower = stored_row(n, data)
                 if len(context):
-                    stats = context_stats(np.cumsum(followers) - followers, total, lower)
-                    yield pa.RecordBatch.from_arrays([pa.array(context), *map(pa.array, stats)], ["context", *names])
+                    stats = context_stats(np.cumsum(followers) - followers, total, words.words(lower) if n == 2 else lower)
+                    yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), *map(pa.array, stats)], ["context", *names])
 
     def alpha(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, alpha, _ = backoff(np.array([c.to_numpy() for c in batch.columns[1:]]).T, discount)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of.astype(np.int64)), pa.array(alpha)], ["context", "total", "alpha"])
 
-    parts = level.where("block = ''").select(*(name for name, *_ in KINDS)).mapInArrow(work, "context long, " + ", ".join(f"{n} double" for n in names))
+    parts = level.where("block = ''").select("model").mapInArrow(work, "context long, " + ", ".join(f"{n} double" for n in names))
     return parts.groupBy("context").agg(*[F.sum(n).alias(n) for n in names]).mapInArrow(alpha, "context long, total long, alpha double")
 
 
@@ -565,7 +561,7 @@ def score_documents(docs: DataFrame, held: Column, order: int = 2, id_col: str =
         replies.append(save(reply, f"{folder}/level-{n}"))
         discounts.append(discount_of(replies[-1]))
         if n > 1:
-            save(weights_of(replies[-1], discounts[-1]), f"{folder}/weights-{n}")
+            save(weights_of(replies[-1], n, discounts), f"{folder}/weights-{n}")
     save(spark.createDataFrame([(order, parts)], "max_order int, parts int"), f"{folder}/about")
     return scores(replies, parts, discounts)
 
@@ -580,8 +576,8 @@ def score_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     for n, level in enumerate(stored, 1):
         if n > 1:
             asks = asks_after(replies, parts, list(discounts))
-        merge = beside_stored(merge_words if n == 1 else merge_grams(n, discounts[0]))
-        rows = level.where("block = ''").select("part", *(name for name, *_ in KINDS))
+        merge = beside_stored(n, merge_words if n == 1 else merge_grams(n, discounts[0]))
+        rows = level.where("block = ''").select("part", "model")
         replies.append(save(asks.groupBy("part").cogroup(rows.groupBy("part")).applyInArrow(merge, REPLY), f"{folder}/level-{n}"))
         discounts.append(discount_of(level))
     return scores(replies, parts, discounts)
