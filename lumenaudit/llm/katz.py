@@ -325,7 +325,8 @@ def summary(totals: np.ndarray) -> list[int]:
 
 
 #: A partition's row of the model: contexts, followers of each, words, total counts, and at level 2 the
-#: total counts of the words alone, above it their probability after the shorter context.
+#: total counts of the words alone, above it their probability after the shorter context. A context
+#: that is split over partitions has a ghost, of count 0, among its followers in each.
 Stored = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 NONE = np.zeros(0, np.int64)
 SCHEMA = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("block", pa.string()), ("data", pa.binary()), ("nums", pa.list_(pa.int64())), ("model", pa.binary())])
@@ -396,7 +397,7 @@ def merge_grams(level: int, words: Discount):
             at += n
         if stored is not None:
             return reply_rows(level, key[0].as_py(), rows)
-        seen = totals > 0  # the rest are n-grams of held-out texts and ghosts
+        seen = (totals > 0) | (word == np.uint64(GHOST))  # the rest are n-grams of held-out texts
         heads = runs_of(context[seen])
         kept = context[seen][heads], np.diff(heads, append=int(seen.sum())), word[seen], totals[seen], low[seen]
         return reply_rows(level, key[0].as_py(), rows, summary(totals), kept)
@@ -513,25 +514,37 @@ def discount_of(level: DataFrame) -> Discount:
 
 
 def weights_of(level: DataFrame, n: int, discounts: list[Discount]) -> DataFrame:
-    """context, total, alpha: the exactly normalised backoff weight of each context of level ``n``."""
+    """context, total, alpha: the exactly normalised backoff weight of each context of level ``n``. Only
+    statistics of split contexts are moved, to be added up."""
     words, discount = discounts[0], discounts[n - 1]
     names = [f"s{i}" for i in range(STATS)]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                context, followers, _, total, lower = stored_row(n, data)
-                if len(context):
-                    stats = context_stats(np.cumsum(followers) - followers, total, words.words(lower) if n == 2 else lower)
-                    yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), *map(pa.array, stats)], ["context", *names])
+    def of_contexts(split: bool):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column(0).to_pylist():
+                    context, followers, word, total, lower = stored_row(n, data)
+                    if not len(context):
+                        continue
+                    starts = np.cumsum(followers) - followers
+                    stats = context_stats(starts, total, words.words(lower) if n == 2 else lower)
+                    own = np.logical_or.reduceat(word == np.uint64(GHOST), starts) == split
+                    yield pa.RecordBatch.from_arrays([pa.array(context[own].view(np.int64)), *(pa.array(s[own]) for s in stats)], ["context", *names])
+
+        return work
 
     def alpha(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, alpha, _ = backoff(np.array([c.to_numpy() for c in batch.columns[1:]]).T, discount)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of.astype(np.int64)), pa.array(alpha)], ["context", "total", "alpha"])
 
-    parts = level.where("block = ''").select("model").mapInArrow(work, "context long, " + ", ".join(f"{n} double" for n in names))
-    return parts.groupBy("context").agg(*[F.sum(n).alias(n) for n in names]).mapInArrow(alpha, "context long, total long, alpha double")
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return alpha(of_contexts(False)(batches))
+
+    rows, kind = level.where("block = ''").select("model"), "context long, total long, alpha double"
+    parts = rows.mapInArrow(of_contexts(True), "context long, " + ", ".join(f"{name} double" for name in names))
+    added = parts.groupBy("context").agg(*[F.sum(name).alias(name) for name in names]).mapInArrow(alpha, kind)
+    return rows.mapInArrow(whole, kind).unionByName(added)
 
 
 def source_rows(docs: DataFrame, held: Column, id_col: str, text_col: str) -> DataFrame:
