@@ -194,7 +194,7 @@ def sample(labelled: DataFrame, max_docs: int, text_col: str, lang_col: str) ->
     return sorted(sizes), rows.where(below).groupBy("lang", "hash").agg(F.first("text").alias("text"))
 
 
-def train(labelled: DataFrame, max_docs: int = 5_000, text_col: str = "text", lang_col: str = "lang") -> WordFirst:
+def train(labelled: DataFrame, max_docs: int = 2_000, text_col: str = "text", lang_col: str = "lang") -> WordFirst:
     """Learns from labelled rows: all words, and all their n-grams, of at most about ``max_docs``
     distinct texts of each language, chosen by a hash of the text.
 
