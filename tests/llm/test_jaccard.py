@@ -52,8 +52,10 @@ def test_against_all_pairs(spark):
 
 
 def test_large_buckets_are_dealt_in_cells(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "CELL", 2)
-    check(spark, corpus(6)[:60])
+    """Connected nodes beyond a cell go by bucket, and a bucket beyond it by pairs of chunks."""
+    for cell in (1000, 200):
+        monkeypatch.setattr(jaccard, "CELL", cell)
+        check(spark, corpus(6)[:60])
 
 
 def test_stage_drops_edited_copies(spark, tmp_path):
