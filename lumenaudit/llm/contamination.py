@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import free_name, save, small, work_dir
+from .store import free_name, lean, release, save, small, work_dir
 
 WORD = re.compile(r"[^\W_]+")
 HASHES, MISSED = 128, 1e-6
@@ -139,6 +139,7 @@ def found_items(spark, text: Column, items: list[tuple[int, str | None]], size:
         searcher = shared.value
         for texts in batches:
             yield pd.Series([[{"item_id": a, "shared": b, "n_item": c} for a, b, c in searcher.search(t)] for t in texts], dtype="object")
+        release()
 
     return find(text.cast("string"))
 
@@ -182,7 +183,7 @@ def item_sets(items: DataFrame, size: int) -> DataFrame:
                     rows.append((item, min(size, len(words)), np.unique(gram_hashes(words, min(size, len(words))))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), as_longs([r[2] for r in rows])], ["item_id", "words", "grams"])
 
-    return items.mapInArrow(work, "item_id long, words int, grams array<long>")
+    return items.mapInArrow(lean(work), "item_id long, words int, grams array<long>")
 
 
 def bitmap_of(grams: DataFrame) -> np.ndarray:
@@ -213,7 +214,7 @@ def projected(texts: DataFrame, bitmap, lengths: list[int], size: int) -> DataFr
                         sets.append(grams)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.array(nodes, np.uint64).view(np.int64)), as_longs(sets)], ["key", "node", "grams"])
 
-    return texts.mapInArrow(work, "key binary, node long, grams array<long>")
+    return texts.mapInArrow(lean(work), "key binary, node long, grams array<long>")
 
 
 ASK = "who long, class int, band int, value long"
@@ -252,7 +253,7 @@ def band_rows(sets: DataFrame, threshold: float, classes: dict[int, int] | None)
                 values = np.concatenate([values for *_, values in rows])
                 yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(kind, pa.int32()), pa.array(band, pa.int32()), pa.array(values.view(np.int64))], ["who", "class", "band", "value"])
 
-    return sets.mapInArrow(work, ASK)
+    return sets.mapInArrow(lean(work), ASK)
 
 
 def routed_hits(texts: DataFrame, items: DataFrame, size: int, threshold: float, folder: str) -> DataFrame:

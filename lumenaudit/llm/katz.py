@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import MB, estimated_bytes, get, put, save, work_dir
+from .store import MB, estimated_bytes, get, lean, put, release, save, work_dir
 
 #: Counts above this are not discounted.
 LAST = 5
@@ -409,7 +409,9 @@ def from_asks(merge):
     """For a partition's asks alone: its row of the model is made of them."""
 
     def work(key, asks):
-        return merge(key, asks)
+        out = merge(key, asks)
+        release()
+        return out
 
     return work
 
@@ -454,7 +456,7 @@ def write_blocks(docs: DataFrame, folder: str, parts: int) -> DataFrame:
         if rows[0]:
             yield from flush()
 
-    return docs.mapInArrow(work, ASK)
+    return docs.mapInArrow(lean(work), ASK)
 
 
 def replies_of(table: pa.Table) -> tuple[str, dict[int, dict[int, bytes]]]:
@@ -487,6 +489,8 @@ def asks_after(replies: list[DataFrame], parts: int, discounts: list[Discount])
         model = up_to(uri, got, parts, discounts)
         model.next_level()
         sent = list(model.asks())
+        del model, got
+        release()
         return pa.table([pa.array([p for p, _ in sent], pa.int32()), pa.array([uri] * len(sent)), pa.array([d for _, d in sent], pa.binary())], ["part", "block", "data"])
 
     return answers(replies, parts).applyInArrow(ask, ASK)
@@ -502,6 +506,8 @@ def scores(replies: list[DataFrame], parts: int, discounts: list[Discount]) -> D
         base = np.log10((counts + 1) / (first.total + first.kinds + 1))
         columns = [pa.array(block.ids, mask=~block.has_id), pa.array(block.held), pa.array(np.diff(block.ends, prepend=0)), pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)), pa.array(np.full(len(starts), first.total, np.int64))]
         columns += [pa.array(np.add.reduceat(x, starts)) for x in (base, np.log10(model.p)[model.level.at])]
+        del model, got, block, counts, base
+        release()
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return answers(replies, parts).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

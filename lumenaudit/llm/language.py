@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import release
+
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 NONE = "und"
@@ -235,6 +237,7 @@ def predict(spark, model: WordFirst, text: Column) -> Column:
         for texts in batches:
             found = [row for part in chunks(texts.tolist()) for row in score.judge(part)]
             yield pd.DataFrame(found, columns=["lang", "score", "known"])
+        release()
 
     return judge(text.cast("string"))
 

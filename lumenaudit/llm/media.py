@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save, work_dir
+from .store import lean, save, work_dir
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -171,7 +171,7 @@ def media_columns(docs: DataFrame, level: int = 6, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(hashes, pa.binary())], ["doc_id", "n_bytes", "media", "hash"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_bytes long, media binary, hash binary")
+    return rows.mapInArrow(lean(work), "doc_id long, n_bytes long, media binary, hash binary")
 
 
 def read_media(media: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def read_media(media: DataFrame) -> DataFrame:
                     rows.append((doc, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(png), hashlib.sha256(png).hexdigest(), found.hex()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names)
 
-    return media.select("doc_id", "n_bytes", "media", "hash").mapInArrow(work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media", "hash").mapInArrow(lean(work), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_table(docs: DataFrame, **options) -> DataFrame:

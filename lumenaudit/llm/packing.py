@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save, work_dir
+from .store import lean, save, work_dir
 from .tokens import encoded
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -79,7 +79,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, i
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, PIECE + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(lean(work), PIECE + (", ids binary" if with_ids else ""))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, open_bins: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -107,5 +107,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
             yield pa.RecordBatch.from_arrays([*batch.columns, sequence, offset], [*batch.schema.names, "sequence_id", "offset"])
 
     order = [F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "length", "ids_crc32"]
-    placed = parts.repartition(tasks).sortWithinPartitions(*order).mapInArrow(place, f"{PIECE}{', ids binary' if with_ids else ''}, sequence_id long, offset long")
+    placed = parts.repartition(tasks).sortWithinPartitions(*order).mapInArrow(lean(place), f"{PIECE}{', ids binary' if with_ids else ''}, sequence_id long, offset long")
     return whole.unionByName(placed)

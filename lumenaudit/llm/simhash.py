@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import drop, get, put, save, small, work_dir
+from .store import drop, get, lean, put, save, small, work_dir
 
 SEED = 42
 BLOCKS, PARTS = 4, 4
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, fp long")
+    return rows.mapInArrow(lean(work), "doc_id long, fp long")
 
 
 class Links:
@@ -227,7 +227,7 @@ def build_trees(shards: DataFrame, radius: int, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(files), pa.int64()), pa.nulls(len(files), pa.int64()), *where], schema=kinds)
 
     dealt = shards.select("key", "chunk", "chunks", "fp").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "fp")
-    return dealt.mapInArrow(work, "u long, v long, key long, chunk int, file string")
+    return dealt.mapInArrow(lean(work), "u long, v long, key long, chunk int, file string")
 
 
 def search_trees(pairs: DataFrame, radius: int) -> DataFrame:
@@ -245,7 +245,7 @@ def search_trees(pairs: DataFrame, radius: int) -> DataFrame:
                     tree.search(x)
                 yield from forest(links)
 
-    return pairs.select("tree", "other").mapInArrow(work, "u long, v long")
+    return pairs.select("tree", "other").mapInArrow(lean(work), "u long, v long")
 
 
 def link_shards(fps: DataFrame, radius: int, folder: str | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Sink, open_input, parts_for, save, work_dir
+from .store import Sink, lean, open_input, parts_for, save, work_dir
 from .tokens import encoded
 
 MAGIC = b"LMTS0001"
@@ -197,7 +197,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, wide
 
     order = ("doc_id", "tie", "turn")
     parts = rows.repartitionByRange(parts_for(docs), *order).sortWithinPartitions(*order)
-    written = save(parts.mapInArrow(work, "number long, file string, ids long"), f"{folder}/written")
+    written = save(parts.mapInArrow(lean(work), "number long, file string, ids long"), f"{folder}/written")
     before = F.expr("coalesce(sum(ids) over (order by number rows between unbounded preceding and 1 preceding), 0)")
     return save(written.select("number", "file", before.alias("start"), "ids"), f"{folder}/manifest")
 
@@ -222,7 +222,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     yield batch_of(rows)
 
     shards = max(1, manifest.count())
-    return manifest.select("file", "start").repartitionByRange(shards, "start").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "start").repartitionByRange(shards, "start").mapInArrow(lean(work), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Sink, open_input, save, work_dir
+from .store import Sink, lean, open_input, save, work_dir
 
 #: Of the seekable Zstandard format: the skippable frame that holds the table, and the last 4 bytes.
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
@@ -162,7 +162,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, id_col: str
         if bundle is not None:
             bundle.close()
 
-    return save(told.mapInArrow(work, "page_id long, file string, frame int, record_offset long"), f"{folder}/index")
+    return save(told.mapInArrow(lean(work), "page_id long, file string, frame int, record_offset long"), f"{folder}/index")
 
 
 def read_archives(index: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def read_archives(index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     files = index.groupBy("file").agg(F.count("*").alias("n"))
-    return files.select("file").mapInArrow(work, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.select("file").mapInArrow(lean(work), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def lookup(index: DataFrame, key: int) -> bytes | None:
