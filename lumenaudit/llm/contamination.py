@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -107,7 +106,7 @@ class Searcher:
         return found
 
     def search(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item_id, shingles shared, shingles of the item) of items contained in the text."""
+        """(item_id, shingles shared, shingles of the item) of items contained in the text, by item."""
         held = self.project(text)
         if not held:
             return []
@@ -134,11 +133,12 @@ class Searcher:
 def found_items(spark, text: Column, items: list[tuple[int, str | None]], size: int = 5, threshold: float = 0.8) -> Column:
     shared = spark.sparkContext.broadcast(Searcher(items, size, threshold))  # ITEMS and ITEM_CHARS at most
 
-    @F.pandas_udf(HITS)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(HITS)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         searcher = shared.value
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int32()), ("n_item", pa.int32())]))
         for texts in batches:
-            yield pd.Series([[{"item_id": a, "shared": b, "n_item": c} for a, b, c in searcher.search(t)] for t in texts], dtype="object")
+            yield pa.array([searcher.search(t.as_py()) for t in texts], kind)
         release()
 
     return find(text.cast("string"))

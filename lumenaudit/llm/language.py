@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,12 +171,12 @@ class Scorer:
         return self.model.langs[best], float(share[best] / share.sum()), float(self.known[places].mean())
 
 
-def chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
+def chunks(texts: pa.Array) -> Iterator[list[str | None]]:
     """The texts in order, about CHUNK_CHARS at once."""
     held, size = [], 0
     for t in texts:
-        held.append(t)
-        size += len(t or "")
+        held.append(t.as_py())
+        size += len(held[-1] or "")
         if size >= CHUNK_CHARS:
             yield held
             held, size = [], 0
@@ -231,12 +231,13 @@ def predict(spark, model: WordFirst, text: Column) -> Column:
     knows the whole or a longest n-gram."""
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample that was learned from
 
-    @F.pandas_udf("lang string, score double, known double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double, known double")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = Scorer(shared.value)
         for texts in batches:
-            found = [row for part in chunks(texts.tolist()) for row in score.judge(part)]
-            yield pd.DataFrame(found, columns=["lang", "score", "known"])
+            found = [row for part in chunks(texts) for row in score.judge(part)]
+            kinds = (pa.string(), pa.float64(), pa.float64())
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 3, kinds)], ["lang", "score", "known"])
         release()
 
     return judge(text.cast("string"))

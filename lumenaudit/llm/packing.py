@@ -72,7 +72,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, i
             for doc, raw in zip(batch.column(0).to_pylist(), encoded(tokenizer, batch.column(1), end_id)):
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
-                    for column, value in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)):
+                    for column, value in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None)):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             columns = [pa.array(c, t) for c, t in zip(rows, kinds)][: 6 if with_ids else 5]

@@ -103,7 +103,7 @@ def estimated_bytes(df: DataFrame, unknown: int = 64 * MB) -> int:
 
 
 #: Tables up to this size, as written, may be broadcast.
-BROADCAST = 32 * MB
+BROADCAST = 4 * MB
 
 
 def small(saved: DataFrame) -> DataFrame:

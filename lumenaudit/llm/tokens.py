@@ -104,7 +104,7 @@ class ChunkEncoder:
     tokens in a text are ordinary text; else, as in the library, they become those tokens.
     """
 
-    def __init__(self, path: str, pieces: int = 300_000, plain: bool = False):
+    def __init__(self, path: str, pieces: int = 200_000, plain: bool = False):
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:

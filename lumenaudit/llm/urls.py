@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,10 +102,10 @@ def filter_urls(pages: DataFrame, weights: np.ndarray | None = None, rules: list
     """
     shared = pages.sparkSession.sparkContext.broadcast(train() if weights is None else weights)
 
-    @F.pandas_udf("double")
-    def judge(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def judge(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for hosts, paths in parts:
-            yield pd.Series([score(shared.value, h, p) for h, p in zip(hosts, paths)], dtype="float64")
+            yield pa.array([score(shared.value, h.as_py(), p.as_py()) for h, p in zip(hosts, paths)], pa.float64())
 
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
