@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import free_name, lean, release, save, small, work_dir
+from .store import bound_batches, free_name, lean, release, save, small, work_dir
 
 WORD = re.compile(r"[^\W_]+")
 HASHES, MISSED = 128, 1e-6
@@ -131,6 +131,7 @@ class Searcher:
 
 
 def found_items(spark, text: Column, items: list[tuple[int, str | None]], size: int = 5, threshold: float = 0.8) -> Column:
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(Searcher(items, size, threshold))  # ITEMS and ITEM_CHARS at most
 
     @F.arrow_udf(HITS)

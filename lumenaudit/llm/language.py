@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import release
+from .store import bound_batches, release
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -229,6 +229,7 @@ def predict(spark, model: WordFirst, text: Column) -> Column:
     language and an even share, and so does one for which all languages are as likely. Whole texts
     are judged, in memory of the words of one text. known: the share of words of which the model
     knows the whole or a longest n-gram."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample that was learned from
 
     @F.arrow_udf("lang string, score double, known double")
