@@ -132,9 +132,10 @@ def find_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     scanned, however long; repeated rows each get the findings of their blob; an empty table gives
     no rows. All columns stay, but one named ``out`` is replaced.
     """
-    findings = update_ledger(docs, ledger or f"{work_dir(docs.sparkSession, 'ledger')}", rules, text_col)
+    folder = work_dir(docs.sparkSession, "secrets")
+    findings = update_ledger(docs, ledger or f"{folder}/ledger", rules, text_col)
     key = free_name(docs, "blob")
-    spans = spans_by_blob(findings, rules).select(F.col("blob").alias(key), F.col("spans").alias(out))
+    spans = small(save(spans_by_blob(findings, rules), f"{folder}/spans")).select(F.col("blob").alias(key), F.col("spans").alias(out))
     rows = docs.withColumn(key, blob_of(F.col(text_col))).drop(out)
     return rows.join(spans, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast(NO_SPANS))).drop(key)
 

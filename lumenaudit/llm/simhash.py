@@ -306,6 +306,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col:
     rooted = save(rooted, f"{folder}/rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = save(rooted.join(least, "root").select("fp", "component_id"), f"{folder}/labels")
+    for done in ("distinct", "dense", "found", "trees", "pairs", "rooted"):
+        drop(docs.sparkSession, f"{folder}/{done}")
     return of_docs.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 

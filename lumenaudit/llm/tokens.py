@@ -104,14 +104,16 @@ class ChunkEncoder:
     tokens in a text are ordinary text; else, as in the library, they become those tokens.
     """
 
-    def __init__(self, path: str, pieces: int = 200_000, plain: bool = False):
+    def __init__(self, path: str, pieces: int = 300_000, plain: bool = False):
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
             about = json.load(f)
         self.spaced = about["normalizer"] is None
-        added = [re.escape(t["content"]) for t in about["added_tokens"]]
-        self.special = re.compile("|".join(added), re.I) if added and not plain else None
+        added = [] if plain else [t["content"] for t in about["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, added)), re.I)
+        #: How they start, where that has no letters: texts without it are not searched.
+        self.marks = {"" if any(c.isalpha() for c in t[:2]) else t[:2] for t in added}
         self.bare = Tokenizer(self.whole.model)
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # the library shows its alphabet: the signs for U+0000 to U+00FF give those of all bytes but a few that no text has
@@ -151,7 +153,8 @@ class ChunkEncoder:
         return [alone.get(i) or out[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
 
     def goes_whole(self, text: str) -> bool:
-        return (not text.isascii() and ODD_SPACE.search(text) is not None) or (self.special is not None and self.special.search(text) is not None)
+        odd = not text.isascii() and ODD_SPACE.search(text) is not None
+        return odd or (any(m in text for m in self.marks) and self.special.search(text) is not None)
 
     def learn(self, words: list[bytes]) -> None:
         odd = [w for w in words if ODD_CHUNK.search(w)]
