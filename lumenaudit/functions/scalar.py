@@ -74,6 +74,16 @@ def icon_text(name: Column) -> Column:
     return F.when(name == "pass", "Accessible").when(name == "fail", "Not accessible").otherwise("Not Tested")
 
 
+def updated_icon(status: Column) -> Column:
+    """After a status was changed: whatever is neither Accessible nor for manual testing has failed."""
+    return F.when(status == ACCESSIBLE, "pass").when(status == MANUAL, "manual").otherwise("fail")
+
+
+def has_metadata(*values: Column) -> Column:
+    """Whether any of a document's properties is there and not empty."""
+    return F.coalesce(*[F.nullif(v.cast("string"), F.lit("")) for v in values]).isNotNull()
+
+
 def toggled(status: Column) -> Column:
     """What a manual change makes of a status: only Accessible goes down."""
     return F.when(status == ACCESSIBLE, NOT_ACCESSIBLE).otherwise(ACCESSIBLE)

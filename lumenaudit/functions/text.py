@@ -2,44 +2,68 @@
 
 from __future__ import annotations
 
+import re
+import string
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: An ASCII word boundary: Java's own treats accented letters as parts of words.
-EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-
 # Words of each group; a text scores one point for every group it has a word of.
-FRENCH = [
-    "le la les un une des du au aux",
-    "est sont ont avoir être aller faire",
-    "bonjour merci oui non monsieur madame mademoiselle",
-    "et ou mais donc car ni or",
-    "ce cette ces cet",
-    "pour dans sur avec sans chez",
-]
-ENGLISH = [
-    "the a an of in on at for to with by",
-    "is are was were has have had be been being",
-    "hello thank_you yes no sir madam miss",
-    "and or but so because neither nor",
-    "this that these those",
-    "for in on with without at",
-]
-
-
-def alternatives(words: str) -> str:
-    return "(" + "|".join(w.replace("_", " ") for w in words.split()) + ")"
-
-
-def score(text: Column, groups: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [text.rlike(f"(?iu){EDGE}{alternatives(g)}{EDGE}").cast("int") for g in groups])
+FRENCH = (
+    ("le", "la", "les", "un", "une", "des", "du", "au", "aux"),
+    ("est", "sont", "ont", "avoir", "être", "aller", "faire"),
+    ("bonjour", "merci", "oui", "non", "monsieur", "madame", "mademoiselle"),
+    ("et", "ou", "mais", "donc", "car", "ni", "or"),
+    ("ce", "cette", "ces", "cet"),
+    ("pour", "dans", "sur", "avec", "sans", "chez"),
+)
+ENGLISH = (
+    ("the", "a", "an", "of", "in", "on", "at", "for", "to", "with", "by"),
+    ("is", "are", "was", "were", "has", "have", "had", "be", "been", "being"),
+    ("hello", "thank you", "yes", "no", "sir", "madam", "miss"),
+    ("and", "or", "but", "so", "because", "neither", "nor"),
+    ("this", "that", "these", "those"),
+    ("for", "in", "on", "with", "without", "at"),
+)
+#: Letters, digits and the underscore of ASCII make words; letters with accents part them.
+INSIDE = "[0-9A-Za-z_]"
+WHOLE_WORD = re.compile(f"{INSIDE}+")
+
+
+def words_of(text: Column, wanted: tuple[str, ...]) -> Column:
+    """Those of ``wanted`` that the text has between two word edges, in either case of letters.
+
+    The text is split into its words once. What is no single word of ASCII is looked for apart.
+    """
+    plain = [w for w in wanted if WHOLE_WORD.fullmatch(w)]
+    low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    found = F.array_intersect(F.split(low, "[^0-9a-z_]+"), F.array(*map(F.lit, plain)))
+    for w in wanted:
+        if w not in plain:
+            # an edge lies between a character of a word and one that is none
+            before, after = (f"(?{look}{'!' if WHOLE_WORD.match(c) else '='}{INSIDE})" for look, c in (("<", w[0]), ("", w[-1])))
+            there = F.lower(text).contains(w) & text.rlike(f"(?iu){before}{w}{after}")
+            found = F.concat(found, F.when(there, F.array(F.lit(w))).otherwise(F.array().cast("array<string>")))
+    return found
+
+
+def scores(text: Column) -> Column:
+    """struct(fr, en): how many groups of each language the text has a word of; null without a text."""
+    groups = {"fr": FRENCH, "en": ENGLISH}
+    wanted = tuple(dict.fromkeys(w for language in groups.values() for g in language for w in g))
+
+    def count(held: Column, language: tuple[tuple[str, ...], ...]) -> Column:
+        return reduce(lambda a, b: a + b, [F.arrays_overlap(held, F.array(*map(F.lit, g))).cast("int") for g in language])
+
+    # a list of one, so that the words are found once for all groups
+    return F.transform(F.array(words_of(text, wanted)), lambda held: F.struct(*[count(held, g).alias(name) for name, g in groups.items()]))[0]
 
 
 def detect_language(text: Column) -> Column:
     """``fr`` if strictly more French than English groups occur, else ``en``."""
-    return F.when(score(text, FRENCH) > score(text, ENGLISH), "fr").otherwise("en")
+    found = scores(text)
+    return F.when(found["fr"] > found["en"], "fr").otherwise("en")
 
 
 def trimmed(text: Column) -> Column:
@@ -57,6 +81,7 @@ def is_long_enough(text: Column, length: int = 10) -> Column:
 
 def is_substantial(text: Column) -> Column:
     """Over three characters and not digits and signs alone."""
+    # Fixed value: the pattern of digits and signs.
     return (F.length(trimmed(text)) > 3) & ~text.rlike(r"""^[0-9\s.,;:!?()\[\]{}'"<>/\\|@#$%^&*_=+-]*$""")
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import lineage
 from ..functions import scalar as S
 from ..operators import issues as I
 from ..operators import pdf_rules, report, slide_rules, status, word_rules
@@ -17,21 +18,28 @@ from ..sources import files as sources
 @dataclass
 class Audit:
     """results: path, kind, success, status, report_passed, n_issues, error; issues: all found, heading
-    errors and unreadable files included; tables: the element tables."""
+    errors and unreadable files included; tables: the element tables. All are read from the parsed
+    rows in ``folder``, which ``free`` removes, or the end of the driver."""
 
     results: DataFrame
     issues: DataFrame
     tables: dict[str, DataFrame]
+    folder: str | None = None
+
+    def free(self) -> None:
+        if self.folder:
+            lineage.drop(self.results.sparkSession, self.folder)
 
 
 def audit(files: DataFrame, kinds: tuple[str, ...] = KINDS, keep=None) -> Audit:
     """Tests files (path, kind, content) of the selected kinds.
 
-    keep: what to do with the parsed rows so that each file is opened once, as ``lambda df:
-    df.persist()`` (the default) or writing them to a table.
+    Each file is opened once: the parsed rows are written to a table in the shared folder, from which
+    every element table reads its own column. keep: what else to do with them.
     """
     selected = report.in_batch_order(files, kinds)
-    parsed = (keep or (lambda df: df.persist()))(sources.parse_files(selected))
+    folder = None if keep else lineage.work_dir(files.sparkSession, "audit")
+    parsed = (keep or (lambda df: lineage.save(df, f"{folder}/parsed")))(sources.parse_files(selected))
     tables = sources.element_tables(parsed)
     by_kind = {PDF: pdf_rules.audit, SLIDES: slide_rules.audit, WORD: word_rules.audit}
     found = I.union_issues([empty(files.sparkSession, ISSUE), *[x for k in kinds for x in by_kind[k](tables)]])
@@ -41,7 +49,7 @@ def audit(files: DataFrame, kinds: tuple[str, ...] = KINDS, keep=None) -> Audit:
     found = found.join(locked.select("path"), "path", "left_anti")
     results = status.reduce_issues(parsed.select("path", "kind"), found, headings, errors)
     unread = I.issue(errors, "parse-error", F.lit("file"), error=F.col("error"))
-    return Audit(results, I.union_issues([found, headings, unread]), tables)
+    return Audit(results, I.union_issues([found, headings, unread]), tables, folder)
 
 
 def audit_folder(spark: SparkSession, folder: str, kinds: tuple[str, ...] = KINDS, case_sensitive: bool = True) -> Audit:
@@ -62,8 +70,9 @@ def audit_file(spark: SparkSession, path: str) -> Audit:
 def stored_status(files: DataFrame, store: DataFrame | None = None, sniff: bool = False) -> DataFrame:
     """path, name, kind, size, status as the files themselves or the store tell it. sniff: a file
     named like a Word document that holds none is of another kind, without a status."""
-    parsed = sources.parse_files(files)
-    tables = sources.element_tables(parsed)
+    read = sources.parse_files(files).select("path", "kind", "error", "custom_props", "pdf_meta")
+    parsed = lineage.save(read, f"{lineage.work_dir(files.sparkSession, 'statuses')}/parsed")  # read more than once
+    tables = {name: parsed.select("path", F.explode(name).alias("e")).select("path", "e.*") for name in ("custom_props", "pdf_meta")}
     known = store if store is not None else empty(files.sparkSession, "path string, status string")
     rows = files.select("path", "name", "kind", "size")
     if sniff:

@@ -91,14 +91,14 @@ def metadata_json_status(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", S.keyword_status(keywords).alias("status"))
 
 
-def score_sql(groups: list[str]) -> str:
-    return " + ".join(f"regexp_matches(text, '(?i)\\b{X.alternatives(g)}\\b')::INT" for g in groups)
+def score_sql(groups: tuple[tuple[str, ...], ...]) -> str:
+    return " + ".join(f"regexp_matches(text, '(?i)\\b({'|'.join(g)})\\b')::INT" for g in groups)
 
 
 @query(f"SELECT doc_id, {score_sql(X.FRENCH)} AS fr_score, {score_sql(X.ENGLISH)} AS en_score, CASE WHEN {score_sql(X.FRENCH)} > {score_sql(X.ENGLISH)} THEN 'fr' ELSE 'en' END AS detected FROM documents")
 def detect_language(spark, sf_dir):
-    text = F.col("text")
-    scored = table(spark, sf_dir, "documents").select("doc_id", X.score(text, X.FRENCH).alias("fr_score"), X.score(text, X.ENGLISH).alias("en_score"))
+    scored = table(spark, sf_dir, "documents").select("doc_id", X.scores(F.col("text")).alias("s"))
+    scored = scored.select("doc_id", F.col("s.fr").alias("fr_score"), F.col("s.en").alias("en_score"))
     return scored.withColumn("detected", F.when(F.col("fr_score") > F.col("en_score"), "fr").otherwise("en"))
 
 
@@ -359,12 +359,12 @@ def image_alt_issues(spark, sf_dir):
     return found.select(F.col("path").alias("o_orderkey"), F.col("detail")["n"].alias("n"), F.col("detail")["pages"].alias("pages"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_returnflag IN ('A', 'R') AND l_quantity > 40)")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
 def empty_slides(spark, sf_dir):
-    """Parts are slides; lines are shapes, pictures or tables of their part."""
+    """Parts are slides; lines are shapes or pictures of their part, or of no kind that counts."""
     slides = table(spark, sf_dir, "part").select(F.lit("deck").alias("path"), F.col("p_partkey").alias("slide"))
-    kind = F.when(F.col("l_returnflag") == "A", "sp").when(F.col("l_returnflag") == "R", "pic").otherwise("graphicFrame")
-    shapes = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity > 40").select(F.lit("deck").alias("path"), F.col("l_partkey").alias("slide"), kind.alias("kind"))
+    kind = F.when(F.col("l_quantity") >= 50, "sp").when(F.col("l_quantity") >= 49, "pic").otherwise("connector")
+    shapes = table(spark, sf_dir, "lineitem").select(F.lit("deck").alias("path"), F.col("l_partkey").alias("slide"), kind.alias("kind"))
     return slide_rules.slides_without_content(slides, shapes).select(F.col("slide").alias("p_partkey"))
 
 
@@ -518,3 +518,65 @@ def pdf_batch_with_faults(spark, sf_dir):
     files = builders.build(table(spark, sf_dir, "pages"), "page_id", "pdf", builders.portable, title=title, language=lang, links=M.links(html))
     cut = F.when(F.col("path").cast("long") % 11 == 0, F.lit(b"no file")).otherwise(F.col("content"))
     return tested(files.withColumn("content", cut)).results.select("path", "success", "status")
+
+
+@query(f"SELECT doc_id, CASE status WHEN 'Accessible' THEN 'pass' WHEN 'Manual Testing Required' THEN 'manual' ELSE 'fail' END AS icon FROM ({FILES_SQL})")
+def updated_icon(spark, sf_dir):
+    return files(spark, sf_dir).select("doc_id", S.updated_icon(F.col("status")).alias("icon"))
+
+
+@query("SELECT doc_id, coalesce(text, '') <> '' OR coalesce(lang, '') <> '' OR coalesce(source, '') <> '' AS has_metadata FROM documents")
+def any_metadata(spark, sf_dir):
+    """Columns of documents as title, language and author."""
+    return table(spark, sf_dir, "documents").select("doc_id", S.has_metadata(F.col("text"), F.col("lang"), F.col("source")).alias("has_metadata"))
+
+
+PROPERTY_SQL = """SELECT o_orderkey AS path, CASE o_orderkey % 3 WHEN 0 THEN 'word' WHEN 1 THEN 'pdf' ELSE 'other' END AS kind, p.value, m.keywords, m.encrypted, s.status AS stored FROM orders o
+LEFT JOIN (SELECT l_orderkey, CASE WHEN max(l_linenumber) % 2 = 0 THEN '1' ELSE '0' END AS value FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey) p ON p.l_orderkey = o.o_orderkey
+LEFT JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'Accessible' END AS keywords, o_orderstatus = 'P' AS encrypted FROM orders WHERE o_orderkey % 3 = 1) m ON m.k = o.o_orderkey
+LEFT JOIN (SELECT o_orderkey AS k, 'Not Accessible' AS status FROM orders WHERE o_orderkey % 2 = 0) s ON s.k = o.o_orderkey"""
+
+
+@query(f"""SELECT path, kind, CASE kind WHEN 'other' THEN 'Not Applicable' WHEN 'pdf' THEN CASE WHEN encrypted THEN coalesce(stored, 'Untested') ELSE coalesce(keywords, 'Untested') END
+ELSE CASE value WHEN '1' THEN 'Accessible' WHEN '0' THEN 'Not Accessible' ELSE 'Untested' END END AS status FROM ({PROPERTY_SQL})""")
+def decoded_status(spark, sf_dir):
+    """Orders as files: lines are custom properties of Word files, of which the last counts; PDFs hold
+    their status in their keywords, or in the store where they are encrypted."""
+    key, orders = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    kind = F.when(key % 3 == 0, "word").when(key % 3 == 1, "pdf").otherwise("other")
+    value = F.when(F.col("l_linenumber") % 2 == 0, "1").otherwise("0")
+    props = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("ord"), F.when(F.col("l_linestatus") == "F", "isAccessible").otherwise("other").alias("name"), value.alias("value"))
+    told = F.when(F.col("o_orderstatus") == "F", '{"isAccessible": "Accessible"}').otherwise("no json")
+    meta = orders.where(key % 3 == 1).select(key.alias("path"), told.alias("keywords"), (F.col("o_orderstatus") == "P").alias("encrypted"))
+    store = orders.where(key % 2 == 0).select(key.alias("path"), F.lit("Not Accessible").alias("status"))
+    return status.decode(orders.select(key.alias("path"), kind.alias("kind")), props, meta, store)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE c_mktsegment || '/' || c_name END AS path FROM customer")
+def joined_path(spark, sf_dir):
+    folder = F.when(F.col("c_custkey") % 4 == 0, "./").when(F.col("c_custkey") % 4 == 1, F.concat("c_mktsegment", F.lit("/"))).otherwise(F.col("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select("c_custkey", S.join_path(folder, F.col("c_name")).alias("path"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE url || '..' END AS context FROM pages WHERE url IS NOT NULL")
+def context_text(spark, sf_dir):
+    """Addresses as contexts of issues: three dots at the end go, two stay."""
+    dots = F.when(F.col("page_id") % 2 == 0, "...").otherwise("..")
+    return table(spark, sf_dir, "pages").where("url is not null").select("page_id", X.without_ellipsis(F.concat("url", dots)).alias("context"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 0 ELSE l_quantity::DOUBLE END AS x, CASE WHEN l_linenumber = 7 THEN 0 ELSE l_linenumber END::DOUBLE AS y,
+CASE WHEN l_linenumber = 7 THEN 0 ELSE 5 END::DOUBLE AS width, CASE WHEN l_linenumber = 7 THEN 0 ELSE 2 * l_linenumber END::DOUBLE AS height FROM lineitem""")
+def rect_box(spark, sf_dir):
+    """Quantities and line numbers as corners of fields; the seventh has none."""
+    x, y = F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double")
+    rect = F.when(F.col("l_linenumber") < 7, F.array(x, y, x + 5, 3 * y))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.rect_box(rect).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+
+
+@query("""SELECT o_orderkey, n::VARCHAR || CASE WHEN n = 1 THEN ' image' ELSE ' images' END || ' on pages ' || pages AS message FROM
+(SELECT l_orderkey AS o_orderkey, count(*) AS n, string_agg(l_linenumber::VARCHAR, ', ' ORDER BY l_linenumber) AS pages FROM lineitem GROUP BY 1)""")
+def issue_message(spark, sf_dir):
+    """Lines as pages with an image that has no description."""
+    found = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("l_linenumber")).alias("pages"))
+    return found.select(F.col("l_orderkey").alias("o_orderkey"), issues.issue_message(F.col("n"), "image", F.col("pages")).alias("message"))

@@ -19,5 +19,6 @@ def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, glob: str
         found = audit(described(batch))
         found.results.write.mode("overwrite").parquet(f"{out}/results/batch={number}")
         found.issues.write.mode("overwrite").parquet(f"{out}/issues/batch={number}")
+        found.free()
 
     return files.writeStream.foreachBatch(test).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
