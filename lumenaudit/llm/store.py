@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import ctypes
 import math
-import os
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -19,6 +17,9 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import lineage
+from ..lineage import base_dir, drop, on_hadoop, save  # noqa: F401  for the operators
+
 MB = 1 << 20
 
 
@@ -45,18 +46,6 @@ def lean(work):
     return run
 
 
-def base_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset in local mode (tests), a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = "file://" + os.path.join(tempfile.gettempdir(), f"lumenaudit-{os.getuid()}", spark.sparkContext.applicationId)
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 #: What one Arrow batch of rows may have, about; a batch is on hand several times, in the JVM and in Python.
 BATCH = 4 * MB
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -72,28 +61,12 @@ def bound_batches(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new, unique place for one run of an operator; it goes when the driver ends."""
     bound_batches(spark)
-    base = base_dir(spark)
+    folder = lineage.work_dir(spark, name)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    folder = f"{base}/lumenaudit/{name}-{uuid.uuid4().hex}"
-    path, system = on_hadoop(spark, folder)
-    system.mkdirs(path)
-    system.deleteOnExit(path)
+        spark.sparkContext.setCheckpointDir(base_dir(spark))
     return folder
 
 
-def on_hadoop(spark: SparkSession, uri: str):
-    """The path and its file system, as Spark itself opens them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def drop(spark: SparkSession, uri: str) -> None:
-    """Removes a table that nothing reads any more."""
-    path, system = on_hadoop(spark, uri)
-    system.delete(path, True)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, in either case of letters."""
     taken = {c.lower() for c in df.columns}
@@ -102,12 +75,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def save(df: DataFrame, path: str) -> DataFrame:
-    """Writes ``df`` and reads it back: lineage ends here and survives the loss of executors."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def estimated_bytes(df: DataFrame, unknown: int = 64 * MB) -> int:
     """Size of the files that ``df`` reads, after Catalyst; ``unknown`` for a source that can't tell."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
