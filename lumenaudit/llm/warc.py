@@ -135,12 +135,13 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, id_col: str
 
     Of rows with equal payloads of at least ``least`` bytes, the one with the largest page_id is the
     response and others revisit it; rows that repeat that page_id are responses too, and so are rows
-    with a null id and smaller payloads. A null payload or url is empty.
+    with a null id and smaller payloads. A null payload or url is empty. Payloads of equal SHA-256 and
+    size are equal. A payload is held whole. An empty table gives no rows; other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    newest = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    told = rows.join(newest, ["digest", "size"], "left").select("page_id", "url", "payload", "digest", "size", F.when(F.col("page_id") < F.col("newest"), F.col("newest")).alias("refers_to"))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "same": F.unhex(F.sha2("payload", 256)), "size": F.octet_length("payload").cast("long")})
+    newest = rows.where(F.col("size") >= least).groupBy("same", "size").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    told = rows.join(newest, ["same", "size"], "left").select("page_id", "url", "payload", "digest", "size", F.when(F.col("page_id") < F.col("newest"), F.col("newest")).alias("refers_to"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle, n, attempt = None, 0, TaskContext.get().taskAttemptId()
