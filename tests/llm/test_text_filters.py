@@ -1,13 +1,16 @@
 """URL filters, language ID, decontamination and secret scans."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from lumenaudit.llm import contamination, language, secrets, urls
+from lumenaudit.llm import contamination, language, queries, secrets, urls
 
 URLS = ["http://www.Example.NET/en/1?x=1", "https://example.net", "http://a.example.com/de/2#t", "ftp://x.org/fr/", "http://x.org/frx", "http://notnet/", "no scheme", "", None, "http://net/en/", "a://b://c/d", "http://h?q=/p", "http://h#/p", "http://a\nb.net/x\ny"]
 
@@ -61,6 +64,53 @@ def test_language(spark, labelled):
     assert all(0 <= r.score <= 1 for r in got.values()) and got[3].score == 0 and got[8].score == pytest.approx(1 / 3)
 
 
+def plain_language(learned, text):
+    """Word-first backoff by dictionaries: counts of words, then of n-grams of 5 to 1 characters."""
+    langs = sorted({lang for _, lang in learned})
+    tables = [{lang: Counter() for lang in langs} for _ in range(6)]
+    cut = lambda w, n: [w] if n == 0 else list(w) if n == 1 else [f" {w} "[i : i + n] for i in range(max(1, len(w) + 3 - n))]
+    for body, lang in set(learned):
+        for w in re.findall(r"[^\W\d_]+", body.lower()):
+            for n in range(6):
+                tables[n][lang].update(cut(w, n))
+    kinds = [set().union(*t.values()) for t in tables]
+
+    def log(n, gram, lang):
+        return math.log((tables[n][lang][gram] + 0.5) / (tables[n][lang].total() + 0.5 * len(kinds[n])))
+
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not any(c.isalpha() for w in words for c in w):
+        return "und", 0.0
+    sums = dict.fromkeys(langs, 0.0)
+    for w in words:
+        for n in (0, 5, 4, 3, 2, 1):
+            known = [g for g in cut(w, n) if g in kinds[n]]
+            if known:
+                for lang in langs:
+                    sums[lang] += sum(log(n, g, lang) for g in known) / len(known)
+                break
+    top = max(sums.values())
+    shares = {lang: math.exp(v - top) for lang, v in sums.items()}
+    best = max(langs, key=lambda lang: shares[lang])
+    return best, shares[best] / sum(shares.values())
+
+
+def test_language_query_against_plain(spark, tmp_path):
+    """All rows of the query, folds as it takes them."""
+    rng = random.Random(9)
+    letters = {"aa": "abcdei", "bb": "efghia", "cc": "iklméa"}
+    word = lambda k: "".join(rng.choice(letters[k]) for _ in range(rng.randint(1, 7)))
+    rows = [(i, " ".join(word(k) for _ in range(rng.randint(1, 15))), k) for i, k in enumerate(rng.choices("aa bb cc".split(), (6, 3, 1), k=150))]
+    rows += [(200, None, "aa"), (201, "", "bb"), (202, "12 ...", "cc"), (203, rows[0][1], rows[0][2]), (204, "zzz qqq", None), (None, "abc", "aa"), (205, " ".join(word("cc") for _ in range(5000)), None), (203, rows[0][1], rows[0][2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    learned = [(t, k) for i, t, k in rows if not out(i) and t is not None and k is not None]
+    got = sorted((str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 3)) for r in queries.op5_language_id(spark, str(tmp_path)).collect())
+    want = sorted((str(i), out(i), *(lambda x: (x[0], round(x[1], 3)))(plain_language(learned, t))) for i, t, _ in rows)
+    assert [x[:3] for x in got] == [x[:3] for x in want] and max(abs(a[3] - b[3]) for a, b in zip(got, want)) < 0.005
+
+
 def test_backoff_is_word_first():
     model = language.WordFirst([("aa", "abc", 5), ("bb", "abd", 5)])
     assert (model.word("abc") == model.logs[0][model.levels[0]["abc"]]).all()
