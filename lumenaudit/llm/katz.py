@@ -142,10 +142,10 @@ class Level:
         hot = seen[split[seen] > 1]
         ghosts = np.repeat(hot, split[hot])
         turn = np.arange(len(ghosts)) - np.repeat(np.cumsum(split[hot]) - split[hot], split[hot])
-        words = self.block.hashes[self.word]
-        sub = (words >> np.uint64(32)).astype(np.int64) % split[self.context]
+        sub = (self.block.hashes[self.word] >> np.uint64(32)).astype(np.int64) % split[self.context]
         self.rows_context = np.concatenate((self.context, ghosts))
-        self.rows_word = np.concatenate((words & np.uint64(LOW48), np.full(len(ghosts), GHOST, np.uint64)))
+        #: Numbers of words; a ghost's is one above all.
+        self.rows_word = np.concatenate((self.word, np.full(len(ghosts), len(self.block.hashes))))
         part = (self.context_keys[self.rows_context] % np.uint64(self.parts)).astype(np.int64) + np.concatenate((sub, turn))
         self.part = part % self.parts
         self.order = np.lexsort((self.rows_context, self.part))
@@ -252,7 +252,8 @@ class Model:
             self.lower = lower
 
     def asks(self) -> Iterator[tuple[int, bytes]]:
-        """Level 2 sends counts of words in place of their P, which follows from them."""
+        """N-grams name their word by its place in a list of the segment's words. Level 2 sends counts
+        of those words in place of their P, which follows from them."""
         level = self.level
         if level.n == 1:
             for part, rows in level.segments():
@@ -260,12 +261,14 @@ class Model:
             return
         ghosts = len(level.rows_context) - len(level.keys)
         counts = np.append(level.counts, np.zeros(ghosts, np.int64))
-        lower = np.append(self.word_totals[level.word] if level.n == 2 else self.lower, np.zeros(ghosts, np.int64))
+        keys = np.append(self.block.hashes & np.uint64(LOW48), np.uint64(GHOST))
+        lower = np.append(self.word_totals, 0) if level.n == 2 else np.append(self.lower, np.zeros(ghosts))
         for part, rows in level.segments():
             context = level.rows_context[rows]
             starts = runs_of(context)
-            word = level.rows_word[rows].view(np.uint8).reshape(-1, 8)[:, :6]
-            yield part, packed(level.context_keys[context[starts]], np.diff(starts, append=len(rows)), np.ascontiguousarray(word).ravel(), counts[rows], lower[rows])
+            words, place = np.unique(level.rows_word[rows], return_inverse=True)
+            sent = level.context_keys[context[starts]], np.diff(starts, append=len(rows)), keys[words], place.astype("<u4"), counts[rows]
+            yield part, packed(*sent, lower[words if level.n == 2 else rows])
 
     def take(self, replies: dict[int, bytes], discount: Discount) -> None:
         """Totals and statistics of contexts, then P of each n-gram.
@@ -326,7 +329,7 @@ def summary(totals: np.ndarray) -> list[int]:
 
 #: A partition's row of the model: contexts, followers of each, words, total counts, and at level 2 the
 #: total counts of the words alone, above it their probability after the shorter context. A context
-#: that is split over partitions has a ghost, of count 0, among its followers in each.
+#: that is split over partitions has a ghost, of count 0, among its followers in each. Asks are alike.
 Stored = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 NONE = np.zeros(0, np.int64)
 SCHEMA = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("block", pa.string()), ("data", pa.binary()), ("nums", pa.list_(pa.int64())), ("model", pa.binary())])
@@ -336,12 +339,30 @@ def reply_rows(level: int, part: int, rows: list[tuple[str, bytes]], nums: list[
     """One row for each block, and unless the model is there already its row, without a block."""
     blocks, data, told, model = [b for b, _ in rows], [d for _, d in rows], [None] * len(rows), [None] * len(rows)
     if kept is not None:
-        blocks, data, told, model = [*blocks, ""], [*data, b""], [*told, nums], [*model, packed(*kept)]
+        blocks, data, told, model = [*blocks, ""], [*data, b""], [*told, nums], [*model, packed(*(listed(level, kept) if level > 1 else kept))]
     return pa.table([[level] * len(blocks), [part] * len(blocks), blocks, data, told, model], schema=SCHEMA)
 
 
+def listed(level: int, kept: Stored) -> tuple[np.ndarray, ...]:
+    """With each word, and at level 2 what goes with it, once, and its place in that list instead."""
+    context, followers, word, totals, low = kept
+    with_word = low if level == 2 else np.zeros(len(word), np.int64)
+    order = np.lexsort((with_word, word))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(word[order]) != 0) | (np.diff(with_word[order]) != 0)
+    place = np.empty(len(order), "<u4")
+    place[order] = np.cumsum(new) - 1
+    first = order[new]
+    return context, followers, word[first], place, totals, low[first] if level == 2 else low
+
+
+def unlisted(level: int, data: bytes) -> Stored:
+    context, followers, words, place, counts, lower = unpacked(data, "<u8", "<i8", "<u8", "<u4", "<i8", "<i8" if level == 2 else "<f8")
+    return context, followers, words[place], counts, lower[place] if level == 2 else lower
+
+
 def stored_row(level: int, data: bytes) -> Stored:
-    return tuple(unpacked(data, "<u8", "<i8", "<u8", "<i8", "<f8" if level > 2 else "<i8"))
+    return unlisted(level, data) if level > 1 else tuple(unpacked(data, "<u8", "<i8", "<u8", "<i8", "<i8"))
 
 
 def merge_words(key, table, stored=None):
@@ -369,10 +390,7 @@ def merge_grams(level: int, words: Discount):
                 held.append(x)
 
         for data in table.column("data").to_pylist():
-            context, run, word, count, lower = unpacked(data, "<u8", "<i8", "u1", "<i8", "<i8" if level == 2 else "<f8")
-            wide = np.zeros((len(count), 8), np.uint8)
-            wide[:, :6] = word.reshape(-1, 6)
-            take(context, run, wide.view("<u8").ravel(), count, lower)
+            take(*unlisted(level, data))
         if stored is not None:
             take(*stored)
         context, word, count, lower = map(np.concatenate, (contexts, grams, counts, lowers))
