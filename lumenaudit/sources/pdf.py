@@ -1,8 +1,8 @@
 """A small PDF reader: objects, object streams, pages, annotations, images, structure, text places.
 
-Scope: documents that are not encrypted, streams that are plain or Flate. Objects are found by
-their own marks, not by the cross-reference table, so damaged tables do not matter; of repeated
-objects the last counts.
+Scope: documents that are not encrypted. Objects are found by their own marks, not by the
+cross-reference table, so damaged tables do not matter; of repeated objects the last counts. Texts
+are decoded by their font's table of Unicode values, or by the standard encoding it names.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import re
 import zlib
 from dataclasses import dataclass
 
+from .pdf_streams import unfiltered
+
 SPACE, DELIMITERS = b"\x00\t\n\x0c\r ", b"()<>[]{}/%"
 OBJECT = re.compile(rb"(?<![0-9])(\d+)[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+obj\b")
 ESCAPES = {ord("n"): 10, ord("r"): 13, ord("t"): 9, ord("b"): 8, ord("f"): 12}
@@ -35,15 +37,7 @@ class Stream:
     raw: bytes
 
     def data(self) -> bytes:
-        filters = self.info.get("Filter") or []
-        for f in filters if isinstance(filters, list) else [filters]:
-            if f != "FlateDecode":
-                raise ValueError(f"filter {f} is not read")
-            parms = self.info.get("DecodeParms")
-            if isinstance(parms, dict) and parms.get("Predictor", 1) != 1:
-                raise ValueError("predictors are not read")
-            return zlib.decompressobj().decompress(self.raw)
-        return self.raw
+        return unfiltered(self.raw, self.info)
 
 
 class Lexer:
@@ -261,34 +255,133 @@ def multiply(a: tuple, b: tuple) -> tuple:
 UNIT = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
+#: Standard encodings as Python names them.
+ENCODINGS = {"WinAnsiEncoding": "cp1252", "MacRomanEncoding": "mac_roman"}
+#: Forms in forms: deeper ones are an error of the page.
+DEEPEST = 16
+
+
+class Font:
+    """Codes to text. Codes that the table does not have are the replacement character."""
+
+    def __init__(self, doc: Document, info: dict):
+        self.wide = doc.get(info.get("Subtype")) == "Type0"
+        encoding = doc.get(info.get("Encoding"))
+        base = doc.get(encoding.get("BaseEncoding")) if isinstance(encoding, dict) else encoding
+        self.codec = ENCODINGS.get(str(base))
+        self.spaces: list[tuple[bytes, bytes]] = []
+        self.chars: dict[bytes, str | None] = {}
+        self.ranges: list[tuple[bytes, bytes, object]] = []
+        table = doc.get(info.get("ToUnicode"))
+        self.table = isinstance(table, Stream)
+        if self.table:
+            self.learn(table.data())
+
+    def learn(self, data: bytes) -> None:
+        lexer, stack = Lexer(data), []
+        while True:
+            try:
+                v = lexer.value()
+            except EOFError:
+                return
+            if type(v) is not Word:
+                stack.append(v)
+                continue
+            if v == "endcodespacerange":
+                self.spaces += [(a, b) for a, b in zip(stack[::2], stack[1::2]) if isinstance(a, bytes) and isinstance(b, bytes)]
+            elif v == "endbfchar":
+                self.chars |= {a: self.unicode(b) for a, b in zip(stack[::2], stack[1::2]) if isinstance(a, bytes) and isinstance(b, bytes)}
+            elif v == "endbfrange":
+                self.ranges += [t for t in zip(stack[::3], stack[1::3], stack[2::3]) if isinstance(t[0], bytes) and isinstance(t[1], bytes)]
+            stack.clear()
+
+    @staticmethod
+    def unicode(raw: bytes) -> str:
+        return raw.decode("utf-16-be", "replace")
+
+    def char(self, code: bytes) -> str | None:
+        if code not in self.chars:
+            self.chars[code] = self.in_ranges(code)
+        return self.chars[code]
+
+    def in_ranges(self, code: bytes) -> str | None:
+        for low, high, to in self.ranges:
+            if len(low) == len(code) and low <= code <= high:
+                n = int.from_bytes(code) - int.from_bytes(low)
+                if isinstance(to, list):
+                    return self.unicode(to[n]) if n < len(to) and isinstance(to[n], bytes) else None
+                if isinstance(to, bytes) and to:
+                    return self.unicode((int.from_bytes(to) + n & (1 << 8 * len(to)) - 1).to_bytes(len(to)))
+        return None
+
+    def size(self, raw: bytes, at: int) -> int:
+        for low, high in self.spaces:
+            code = raw[at : at + len(low)]
+            if len(code) == len(low) and all(a <= c <= b for a, c, b in zip(low, code, high)):
+                return len(low)
+        return 2 if self.wide else 1
+
+    def text(self, raw: bytes) -> str:
+        if not self.table:
+            if self.wide:
+                return "\ufffd" * (len(raw) // 2)
+            return raw.decode(self.codec, "replace") if self.codec else decoded(raw) or ""
+        out, at = [], 0
+        while at < len(raw):
+            code = raw[at : at + self.size(raw, at)]
+            char = self.char(code)
+            if char is None:
+                char = "\ufffd" if self.wide else code.decode(self.codec or "latin-1", "replace")
+            out.append(char)
+            at += len(code)
+        return "".join(out)
+
+
 def page_content(doc: Document, page: dict) -> tuple[list[tuple[str, float, float]], list[str]]:
-    """Texts with the place where they start, and names of images drawn, in order."""
+    """Texts with the place where they start, and names of images drawn, in order; those of forms
+    come where the form is drawn."""
+    texts: list[tuple[str, float, float]] = []
+    drawn: list[str] = []
+    fonts: dict[int, Font] = {}
     data = b"\n".join(s.data() for c in doc.list(page.get("Contents")) if isinstance(s := doc.get(c), Stream))
-    images = {k for k, v in doc.dict(doc.dict(page.get("Resources")).get("XObject")).items() if doc.dict(v).get("Subtype") == "Image"}
-    lexer, stack, texts, drawn = Lexer(data), [], [], []
-    view, saved, line, leading = UNIT, [], UNIT, 0.0
+    draw(doc, data, doc.dict(page.get("Resources")), UNIT, texts, drawn, fonts, 0)
+    return texts, drawn
+
+
+def draw(doc: Document, data: bytes, resources: dict, view: tuple, texts: list, drawn: list, fonts: dict[int, Font], depth: int) -> None:
+    """Adds what a content stream shows to ``texts`` and ``drawn``."""
+    if depth > DEEPEST:
+        raise ValueError("forms too deep")
+    objects, named = doc.dict(resources.get("XObject")), doc.dict(resources.get("Font"))
+    lexer, stack = Lexer(data), []
+    saved, line, leading, font = [], UNIT, 0.0, None
 
     def show(raw: bytes) -> None:
         at = multiply(line, view)
-        texts.append((decoded(raw) or "", at[4], at[5]))
+        texts.append((font.text(raw) if font else decoded(raw) or "", at[4], at[5]))
 
     while True:
         try:
             v = lexer.value()
         except EOFError:
-            return texts, drawn
+            return
         if type(v) is not Word:
             stack.append(v)
             continue
         n = [float(x) for x in stack if isinstance(x, (int, float)) and not isinstance(x, bool)]
         if v == "q":
-            saved.append(view)
+            saved.append((view, font, leading))
         elif v == "Q":
-            view = saved.pop() if saved else view
+            view, font, leading = saved.pop() if saved else (view, font, leading)
         elif v == "cm" and len(n) == 6:
             view = multiply(tuple(n), view)
         elif v == "BT":
             line = UNIT
+        elif v == "Tf" and stack and isinstance(stack[0], Name):
+            info = doc.dict(named.get(stack[0]))
+            if info and id(info) not in fonts:
+                fonts[id(info)] = Font(doc, info)
+            font = fonts[id(info)] if info else None
         elif v == "Tm" and len(n) == 6:
             line = tuple(n)
         elif v in ("Td", "TD") and len(n) == 2:
@@ -305,8 +398,15 @@ def page_content(doc: Document, page: dict) -> tuple[list[tuple[str, float, floa
             show(stack[-1])
         elif v == "TJ" and stack and isinstance(stack[-1], list):
             show(b"".join(x for x in stack[-1] if isinstance(x, bytes)))
-        elif v == "Do" and stack and isinstance(stack[-1], Name) and stack[-1] in images:
-            drawn.append(str(stack[-1]))
+        elif v == "Do" and stack and isinstance(stack[-1], Name):
+            found = doc.get(objects.get(stack[-1]))
+            kind = doc.dict(found).get("Subtype")
+            if kind == "Image":
+                drawn.append(str(stack[-1]))
+            elif kind == "Form" and isinstance(found, Stream):
+                matrix = [float(x) for x in map(doc.get, doc.list(found.info.get("Matrix"))) if isinstance(x, (int, float))]
+                inside = multiply(tuple(matrix), view) if len(matrix) == 6 else view
+                draw(doc, found.data(), doc.dict(found.info.get("Resources")) or resources, inside, texts, drawn, fonts, depth + 1)
         elif v == "ID":  # an inline image: skip its data
             end = re.compile(rb"[\x00\t\n\x0c\r ]EI(?![0-9A-Za-z])").search(data, lexer.at)
             lexer.at = end.end() if end else len(data)
