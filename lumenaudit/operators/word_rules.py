@@ -1,7 +1,7 @@
 """Rules on the element tables of Word documents.
 
 A published subset of WCAG techniques that can be decided from the document alone: picture
-descriptions, link texts, table headers, the title, heading order. It is not a full WCAG 2 AAA test.
+descriptions, link texts, table headers, heading order. It is not a full WCAG 2 AAA test.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ from ..operators import issues as I
 from ..operators import pdf_rules, report, slide_rules, status, word_rules
 from ..schema import ACCESSIBLE, ISSUE, KINDS, MANUAL, NOT_ACCESSIBLE, OTHER, PDF, SLIDES, UNTESTED, WORD, empty
 from ..sources import files as sources
+from ..sources import remote
 
 
 @dataclass
@@ -63,6 +64,22 @@ def audit_folder(spark: SparkSession, folder: str, kinds: tuple[str, ...] = KIND
     return audit(files, kinds)
 
 
+def audit_remote(spark: SparkSession, folder: int, kinds: tuple[str, ...] = KINDS, deep: bool = True, **options: str) -> Audit:
+    """Documents of a folder of the remote store, below it at any depth if ``deep``; see ``remote``."""
+    nodes = remote.descend(spark, folder, **options) if deep else remote.nodes(spark, nodes=str(folder), **options)
+    files = remote.files_of(nodes)
+    return audit(remote.fetch(files.where(F.col("kind").isin(*kinds)), **options), kinds)
+
+
+def record(found: Audit, store: str, user: str | None = None) -> DataFrame:
+    """Puts the statuses of files that could be tested into the status store; the others keep theirs."""
+    from ..sources.writers import write_status
+
+    who = F.lit(user).cast("string") if user else F.current_user()
+    rows = found.results.where("success").select("path", "status", who.alias("updated_by"), F.current_timestamp().alias("updated_at"))
+    return write_status(found.results.sparkSession, rows, store)
+
+
 def audit_file(spark: SparkSession, path: str) -> Audit:
     return audit(sources.described(spark.read.format("binaryFile").load(path)))
 

@@ -59,7 +59,6 @@ RULES = [
     ("word-image-alt", "1.1.1", WORD, "Critical", "picture description", None),
     ("word-link-text", "2.4.4", WORD, "Serious", "link text", None),
     ("word-table-header", "1.3.1", WORD, "Serious", "table header row", None),
-    ("word-title", "2.4.2", WORD, "Moderate", "document title", None),
     ("word-heading", "1.3.1", WORD, "Moderate", "heading hierarchy", None),
     ("parse-error", "n/a", OTHER, "Critical", "file could not be read", None),
 ]

@@ -177,7 +177,7 @@ class Document:
                 continue
         for o in list(self.objects.values()):
             if isinstance(o, Stream) and o.info.get("Type") == "XRef":
-                self.trailer |= {k: v for k, v in o.info.items() if k in ("Root", "Info", "Encrypt")}
+                self.trailer |= {k: v for k, v in o.info.items() if k in ("Root", "Info", "Encrypt", "ID")}
         self.encrypted = "Encrypt" in self.trailer
         if not self.encrypted:
             for o in [o for o in self.objects.values() if isinstance(o, Stream) and o.info.get("Type") == "ObjStm"]:

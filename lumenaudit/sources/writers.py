@@ -1,6 +1,6 @@
 """Explicit writes: HTML reports, status tables, office properties, comments in Word files.
 
-Queries never write. What changes files writes new ones to a folder of its own.
+Queries never write. What changes files works on bytes here; ``actions`` does so for tables of files.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators.issues import repairs
 from .ooxml import COMMENTS, CUSTOM, DOCUMENT, VT, W, members
 
 # Names that the office formats prescribe.
@@ -43,16 +44,21 @@ def escaped(column):
 
 def html_reports(results: DataFrame, issues: DataFrame, folder: str) -> DataFrame:
     """path, report_path, html: one report for each row of ``results`` (path, kind, status,
-    report_passed), its issues as a table in a fixed order. Built without Python."""
+    report_passed), its issues as a table in a fixed order, each with the steps that repair it. Files
+    of one kind and name have a hash of their path in the report's name. Built without Python."""
     cell = lambda c: F.concat(F.lit("<td>"), escaped(F.coalesce(c, F.lit(""))), F.lit("</td>"))
     detail = F.array_join(F.array_sort(F.transform(F.map_entries("detail"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))), ", ")
-    line = F.concat(F.lit("<tr>"), *[cell(F.col(c)) for c in ("criterion", "impact", "rule_id", "location")], cell(detail), F.lit("</tr>"))
-    lines = issues.select("path", line.alias("line")).groupBy("path").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"))
+    line = F.concat(F.lit("<tr>"), *[cell(F.col(c)) for c in ("criterion", "impact", "rule_id", "location")], cell(detail), cell(F.array_join("steps", " ")), F.lit("</tr>"))
+    lines = repairs(issues).select("path", line.alias("line")).groupBy("path").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"))
     rows = results.select("path", "kind", "status", "report_passed").join(lines, "path", "left")
     name = S.base_name(F.col("path"))
+    named = rows.withColumn("name", name)
+    repeated = named.groupBy("kind", "name").agg(F.count("*").alias("n")).where("n > 1").select("kind", "name", F.lit(True).alias("repeated"))
+    rows = named.join(repeated, ["kind", "name"], "left")
+    place = F.when(F.col("repeated"), F.concat(name, F.lit("-"), F.substring(F.sha2("path", 256), 1, 16))).otherwise(name)
     head = F.concat(F.lit("<!doctype html><html lang=\"en\"><head><meta charset=\"utf-8\"><title>"), escaped(name), F.lit("</title></head><body><h1>"), escaped(name), F.lit("</h1><p>"), F.when(F.col("report_passed"), "Passed").otherwise("Failed"), F.lit(": "), F.col("status"), F.lit("</p>"))
-    table = F.when(F.col("lines").isNull(), "<p>No issues.</p>").otherwise(F.concat(F.lit("<table><tr><th>Criterion</th><th>Impact</th><th>Rule</th><th>Place</th><th>Detail</th></tr>\n"), F.col("lines"), F.lit("\n</table>")))
-    return rows.select("path", report_path(folder, F.col("kind"), name).alias("report_path"), F.concat(head, table, F.lit("</body></html>")).alias("html"))
+    table = F.when(F.col("lines").isNull(), "<p>No issues.</p>").otherwise(F.concat(F.lit("<table><tr><th>Criterion</th><th>Impact</th><th>Rule</th><th>Place</th><th>Detail</th><th>Repair</th></tr>\n"), F.col("lines"), F.lit("\n</table>")))
+    return rows.select("path", report_path(folder, F.col("kind"), place).alias("report_path"), F.concat(head, table, F.lit("</body></html>")).alias("html"))
 
 
 def write_reports(reports: DataFrame, folder: str) -> None:
