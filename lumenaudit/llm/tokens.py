@@ -100,7 +100,8 @@ class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     A vocabulary with a normalizer lower-cases and drops white space; one without keeps it.
-    pieces: how many pieces the cache may hold before it starts anew. plain: the strings of special
+    pieces: how many pieces the cache may hold before it starts anew; those of the cache before are
+    taken over as they are met, and the rest go the next time. plain: the strings of special
     tokens in a text are ordinary text; else, as in the library, they become those tokens.
     """
 
@@ -122,6 +123,7 @@ class ChunkEncoder:
             for b, sign in zip(c.encode(), level.pre_tokenize_str(c)[0][0]):
                 self.alphabet[b] = sign
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.most = pieces
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
@@ -135,10 +137,13 @@ class ChunkEncoder:
         coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
         codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         if len(self.known) > self.most:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         ids = list(map(self.known.get, words))
         if None in ids:
-            self.learn([w for w, x in zip(words, ids) if x is None and w != mark])
+            new = [w for w, x in zip(words, ids) if x is None and w != mark]
+            old = list(map(self.before.get, new))
+            self.known.update((w, x) for w, x in zip(new, old) if x is not None)
+            self.learn([w for w, x in zip(new, old) if x is None])
             ids = list(map(self.known.get, words))
         ids[words.index(mark)] = packed([end_id])
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -182,7 +187,7 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def encoded(path: str, texts: pa.Array, end_id: int, most: int = 2 << 20):
+def encoded(path: str, texts: pa.Array, end_id: int, most: int = 4 << 20):
     """Yields the ids of each text and the end id, as bytes; null is empty. most: characters encoded at once."""
     group, size = [], 0
     for t in texts:
