@@ -12,6 +12,10 @@ A shard of up to CELL fingerprints is searched where its tree is built. A larger
 chunks, each with a tree; trees are then broadcast, as files in the shared folder, to the tasks that
 search them for the fingerprints of another chunk. So a tree is bounded in size, however dense a
 shard, and no fingerprint passes through the driver.
+
+Three bits are strict. ``near_sets`` finds what a similarity of 0.8 asks for: sets of shingles have
+fingerprints of 48 words, each of whose 192 blocks of 16 bits is a shard, and the trees of shards
+link what differs in up to 53 of 168 bits.
 """
 
 from __future__ import annotations
@@ -31,6 +35,16 @@ SEED = 42
 BLOCKS, PARTS = 4, 4
 #: Fingerprints of a tree at most; shingles hashed at once.
 CELL, PART = 8192, 1 << 16
+#: Words of a wide fingerprint, and the radius of trees that compare 168 bits of it: at a Jaccard
+#: similarity of 0.8 a bit is equal with probability 0.8485, so that a pair shares no shard, or is
+#: beyond the radius, in less than one case in a million. One in SAMPLE sets tells which shards are dense.
+WORDS, NEAR, SAMPLE = 48, 53, 16
+#: Sets of up to SHORT shingles have MORE words, as their bits tie more often (0.8359 for four of five).
+SHORT, MORE = 32, 64
+_rng = np.random.default_rng(SEED)
+#: A bit of a shingle's vote is worth 1 (first row) or 2: with four levels, small sets seldom tie.
+TIMES = _rng.integers(0, 1 << 63, (2, MORE), np.uint64) * np.uint64(2) + np.uint64(1)
+MIX, HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -266,6 +280,138 @@ def link_shards(fps: DataFrame, radius: int, folder: str | None = None) -> DataF
     return links.unionByName(search_trees(pairs.repartition(max(1, pairs.count())), radius).where("u != v"))
 
 
+def add_bits(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums of the bits at each place, in binary: the words of worth 1, 2, 4, .. ``rows[j]`` has rows of
+    words worth 2**j. Full adders take three rows at a time."""
+    sums, j = [], 0
+    while j < len(rows):
+        left, carries = rows[j], []
+        while len(left) > 1:
+            n = max(1, len(left) // 3)
+            a, b = left[:n], left[n : 2 * n]
+            c = left[2 * n : 3 * n] if len(left) > 2 else np.zeros_like(a)
+            x = a ^ b
+            carries.append((a & b) | (x & c))
+            left = np.concatenate((x ^ c, left[3 * n :]))
+        if carries:
+            if j + 1 == len(rows):
+                rows = [*rows, left[:0]]
+            rows[j + 1] = np.concatenate((rows[j + 1], *carries))
+        sums.append(left)
+        j += 1
+    return sums
+
+
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """WORDS (or MORE) words for a set of hashes of shingles; a bit is 1 if its votes are over half of all.
+    0 for an empty set. A long set is added up in parts."""
+    size = MORE if len(found) <= SHORT else WORDS
+    times = TIMES[:, :size].ravel()
+    sums: list[np.ndarray] = []
+    for i in range(0, len(found), 1024):
+        votes = found[i : i + 1024, None] * times
+        votes ^= votes >> HALF
+        votes *= MIX
+        votes ^= votes >> HALF
+        new = [votes[:, :size], votes[:, size:]]
+        sums = add_bits([np.concatenate(new[j : j + 1] + sums[j : j + 1]) for j in range(max(2, len(sums)))])
+    most = 3 * len(found) // 2
+    over, level = np.zeros(size, np.uint64), np.full(size, ~np.uint64(0))
+    for j in range(max(len(sums), most.bit_length()) - 1, -1, -1):
+        bits = sums[j][0] if j < len(sums) and len(sums[j]) else np.zeros(size, np.uint64)
+        if most >> j & 1:
+            level &= bits
+        else:
+            over |= level & bits
+            level &= ~bits
+    return over
+
+
+def shard_rows(sets: DataFrame) -> DataFrame:
+    """head, a, b for each block of the words of each row: 24 bits that name the shard (which block, and
+    its bits), then the 168 that are compared."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0)
+            sizes, flat = np.diff(words.offsets.to_numpy()), words.flatten().to_numpy().view(np.uint64)
+            starts = np.cumsum(sizes) - sizes
+            for size in np.unique(sizes):
+                at = starts[sizes == size]
+                blocks = np.arange(4 * size, dtype=np.uint64) << np.uint64(16)
+                for i in range(0, len(at), 256):
+                    part = flat[at[i : i + 256, None] + np.arange(size)]
+                    head = (blocks | part.view("<u2").astype(np.uint64)) << np.uint64(40) | (part[:, 2:3] & np.uint64((1 << 40) - 1))
+                    ends = [np.repeat(part[:, k], 4 * size) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (head.ravel(), *ends)], ["head", "a", "b"])
+
+    return sets.select("words").mapInArrow(lean(work), "head long, a long, b long")
+
+
+def search_shards(dealt: DataFrame) -> DataFrame:
+    """(ua, ub, va, vb): links within each shard and chunk, as two words of each end. Input: head, a, b,
+    chunk, sorted; the top 24 bits of head are the shard, the others are compared, as a and b are."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links, held, last = Links(), [], None
+
+        def close() -> None:
+            if len(held) > 1:
+                tree = BKTree(NEAR, links)
+                for x in dict.fromkeys(held):
+                    tree.insert(x)
+
+        def found() -> Iterator[pa.RecordBatch]:
+            ends = list(links.parent)
+            for i in range(0, len(ends), 1 << 16):
+                part = ends[i : i + (1 << 16)]
+                roots = [links.find(x) for x in part]
+                words = [[x >> s & (1 << 64) - 1 for x in side] for side in (part, roots) for s in (64, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(w, np.uint64).view(np.int64)) for w in words], ["ua", "ub", "va", "vb"])
+            links.parent.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            head, a, b = (batch.column(k).to_numpy().view(np.uint64) for k in range(3))
+            shard = (head >> np.uint64(40)) << np.uint64(32) | batch.column(3).to_numpy().astype(np.uint64)
+            prints = [x << 128 | y << 64 | z for x, y, z in zip((head & np.uint64((1 << 40) - 1)).tolist(), a.tolist(), b.tolist())]
+            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+            for i, j in zip(cuts, cuts[1:]):
+                if shard[i] != last:
+                    close()
+                    held, last = [], shard[i]
+                held += prints[i:j]
+            if len(links.parent) > 1 << 14:
+                yield from found()
+        close()
+        yield from found()
+
+    return dealt.select("head", "a", "b", "chunk").mapInArrow(lean(work), "ua long, ub long, va long, vb long")
+
+
+def print_id(a: Column, b: Column) -> Column:
+    """Names a wide fingerprint by its first two words."""
+    return F.xxhash64(a, b)
+
+
+def near_sets(sets: DataFrame, folder: str) -> DataFrame:
+    """(u, v), by ``print_id``: spanning forests of the links of wide fingerprints within shards. Input:
+    words. A shard beyond CELL is dealt as pairs of its chunks."""
+    keyed, shard = shard_rows(sets), F.shiftrightunsigned("head", 40)
+    dense = shard_rows(sets.where(F.pmod(print_id(F.col("words")[0], F.col("words")[1]), F.lit(SAMPLE)) == 0))
+    dense = dense.groupBy(shard.alias("shard")).agg((F.count("*") * SAMPLE).alias("n")).where(F.col("n") > CELL)
+    dense = save(dense.select("shard", F.ceil(F.col("n") / CELL).cast("int").alias("chunks")), f"{folder}/dense")
+    if dense.isEmpty():
+        dealt = keyed.withColumn("chunk", F.lit(0))
+    else:
+        told = keyed.join(small(dense), shard == F.col("shard"), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        told = told.withColumn("own", F.expr("cast(pmod(xxhash64(a, b), chunks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+        dealt = told.withColumn("chunk", F.least("own", "other") * 65536 + F.greatest("own", "other"))
+    dealt = dealt.select("head", "a", "b", "chunk").repartition(shard, "chunk").sortWithinPartitions(shard, "chunk")
+    return search_shards(dealt).select(print_id(F.col("ua"), F.col("ub")).alias("u"), print_id(F.col("va"), F.col("vb")).alias("v")).where("u != v")
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(u, v): each node but the smallest of its component, and that smallest.
 

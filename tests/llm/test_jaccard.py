@@ -68,3 +68,13 @@ def test_stage_drops_edited_copies(spark, tmp_path):
     assert any((prints[0] ^ p).bit_count() > 3 for p in prints[1:4]) and similar(plain_set(texts[1]), plain_set(texts[2])) >= 0.8
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()) == [0, 4]
+
+
+def test_stage_gets_its_candidates_from_simhash(spark, tmp_path, monkeypatch):
+    """Edited copies are dropped by what near_sets connects, and by nothing else."""
+    words = [f"w{i}" for i in range(120)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join([*words[:60], "edited", *words[61:]])), (2, " ".join(words))], SCHEMA)
+    left = lambda: sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert left() == [0]
+    monkeypatch.setattr(jaccard, "near_sets", lambda sets, folder: spark.createDataFrame([], "u long, v long"))
+    assert left() == [0, 1]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -127,6 +128,53 @@ def test_near_duplicates(spark):
     assert sorted(((r.doc_id if r.doc_id is not None else -1), r.fp % (1 << 64), r.component_id if r.component_id is not None else -1) for r in got) == want
 
 
+def plain_wide(found):
+    """Counted vote by vote."""
+    mask, words = (1 << 64) - 1, []
+    for w in range(64 if len(found) <= 32 else 48):
+        total = [0] * 64
+        for worth, times in zip((1, 2), simhash.TIMES[:, w].tolist()):
+            for h in found:
+                x = h * times & mask
+                x = (x ^ x >> 32) * 0x9E3779B97F4A7C15 & mask
+                x ^= x >> 32
+                total = [t + worth * (x >> b & 1) for b, t in enumerate(total)]
+        words.append(sum(1 << b for b, t in enumerate(total) if 2 * t > 3 * len(found)))
+    return words
+
+
+def test_wide_fingerprints():
+    rng = random.Random(2)
+    for n in (0, 1, 2, 4, 5, 32, 33, 1025):
+        found = [rng.getrandbits(64) for _ in range(n)]
+        assert simhash.wide_fingerprint(np.array(found, np.uint64)).tolist() == plain_wide(found)
+
+
+@pytest.mark.parametrize("cell", [simhash.CELL, 7])
+def test_near_sets_connect_all_of_similarity_four_fifths(spark, monkeypatch, cell):
+    """Pairs at exactly 0.8, of four shingles and more, and a dense group; unrelated sets stay alone."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    rng = random.Random(4)
+    sets = []
+    for both, a, b in [(4, 0, 1), (8, 1, 1), (8, 0, 2), (40, 5, 5), (400, 0, 100), (4000, 500, 500)] * 6:
+        h = [rng.getrandbits(64) for _ in range(both + a + b)]
+        sets.append([h[: both + a], h[:both] + h[both + a :]])
+    core = [rng.getrandbits(64) for _ in range(90)]
+    sets.append([core + [rng.getrandbits(64) for _ in range(5)] for _ in range(40)])
+    words = [[simhash.wide_fingerprint(np.array(s, np.uint64)).view(np.int64).tolist() for s in group] for group in sets]
+    rows = [(k, w) for k, group in enumerate(words) for w in group]
+    df = spark.createDataFrame(rows, "k int, words array<long>").withColumn("u", simhash.print_id(F.col("words")[0], F.col("words")[1])).localCheckpoint()
+    folder = simhash.work_dir(spark, "t")
+    links = simhash.save(simhash.near_sets(df, folder), f"{folder}/links")
+    assert spark.read.parquet(f"{folder}/dense").isEmpty() == (cell > 7)
+    roots = {r.u: r.v for r in simhash.components(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), folder).collect()}
+    found = {}
+    for r in df.collect():
+        found.setdefault(r.k, set()).add(roots.get(r.u, r.u))
+    assert all(len(v) == 1 for v in found.values()) and len({next(iter(v)) for v in found.values()}) == len(sets)
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
