@@ -16,6 +16,20 @@ INVALID_LEVEL, FIRST_NOT_ONE, SECOND_ONE, NO_PLACE = 1001, 1002, 1003, 1004
 BEFORE, ROOTLESS = -1, 0
 
 
+def verdict(at: Column, level: Column) -> tuple[Column, Column]:
+    """Error code of a heading (0 is none) and the state after it."""
+    one = level.eqNullSafe(F.lit(1))
+    code = (
+        F.when(level < 1, INVALID_LEVEL)
+        .when(at == BEFORE, 0)
+        .when(at == ROOTLESS, F.when(one, 0).otherwise(FIRST_NOT_ONE))
+        .when(one, SECOND_ONE)
+        .when(level <= at + 1, 0)
+        .otherwise(NO_PLACE)
+    )
+    return code, F.when(code != 0, at).when((at == BEFORE) & ~one, ROOTLESS).otherwise(level)
+
+
 def heading_errors(headings: Column) -> Column:
     """array<struct(pos, level, code)> of array<struct(pos, level)> in document order.
 
@@ -25,24 +39,24 @@ def heading_errors(headings: Column) -> Column:
     """
 
     def step(state: Column, h: Column) -> Column:
-        at, level = state["at"], h["level"]
-        one = level.eqNullSafe(F.lit(1))
-        code = (
-            F.when(level < 1, INVALID_LEVEL)
-            .when(at == BEFORE, 0)
-            .when(at == ROOTLESS, F.when(one, 0).otherwise(FIRST_NOT_ONE))
-            .when(one, SECOND_ONE)
-            .when(level <= at + 1, 0)
-            .otherwise(NO_PLACE)
-        )
-        after = F.when(code != 0, at).when((at == BEFORE) & ~one, ROOTLESS).otherwise(level)
-        entry = F.struct(h["pos"].alias("pos"), level.alias("level"), code.alias("code"))
+        code, after = verdict(state["at"], h["level"])
+        entry = F.struct(h["pos"].alias("pos"), h["level"].alias("level"), code.alias("code"))
         return F.struct(after.alias("at"), F.when(code != 0, F.concat(state["found"], F.array(entry))).otherwise(state["found"]).alias("found"))
 
     start = F.struct(F.lit(BEFORE).alias("at"), F.array().cast("array<struct<pos:int,level:int,code:int>>").alias("found"))
     return F.aggregate(headings, start, step, lambda s: s["found"])
 
 
+def count_errors(headings: Column) -> Column:
+    """How many ``heading_errors`` there are."""
+
+    def step(state: Column, h: Column) -> Column:
+        code, after = verdict(state["at"], h["level"])
+        return F.struct(after.alias("at"), (state["n"] + F.when(code != 0, 1).otherwise(0)).alias("n"))
+
+    return F.aggregate(headings, F.struct(F.lit(BEFORE).alias("at"), F.lit(0).alias("n")), step, lambda s: s["n"])
+
+
 def check_headings(headings: DataFrame) -> DataFrame:
     """path, pos, level, code for each error. headings: path, pos, level (whole numbers)."""
     of = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct("level").alias("h")))), lambda x: F.struct(x["pos"].cast("int").alias("pos"), x["h"]["level"].cast("int").alias("level")))
@@ -72,6 +86,13 @@ def outline(headings: DataFrame) -> DataFrame:
     return rows.select("path", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("outline"))
 
 
-def heading_issues(paragraphs: DataFrame) -> DataFrame:
-    found = check_headings(docx_headings(paragraphs))
+def headings_of(paragraphs: Column) -> Column:
+    """array<struct(pos, level)> of a file's paragraphs: those of ``docx_headings``, without dealing rows by file again."""
+    kept = F.filter(paragraphs, lambda p: F.lower(p["style_id"]).startswith("heading") & p["text"].rlike(r"(?U)\S"))
+    return F.transform(kept, lambda p, i: F.struct((i + 1).alias("pos"), level_of(p["style_id"]).alias("level")))
+
+
+def heading_issues(files: DataFrame) -> DataFrame:
+    """files: path, paragraphs (an array in document order)."""
+    found = files.select("path", F.explode(heading_errors(headings_of(F.col("paragraphs")))).alias("e")).select("path", "e.*")
     return issue(found, "word-heading", F.concat(F.lit("heading "), F.col("pos").cast("string")), code=F.col("code"), level=F.col("level"))

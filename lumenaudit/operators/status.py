@@ -26,18 +26,16 @@ def decode(files: DataFrame, custom_props: DataFrame, pdf_meta: DataFrame, store
     return rows.select(*files.columns, status.alias("status"))
 
 
-def reduce_issues(files: DataFrame, issues: DataFrame, heading_issues: DataFrame, errors: DataFrame) -> DataFrame:
+def reduce_issues(files: DataFrame, issues: DataFrame) -> DataFrame:
     """path, kind, success, status, report_passed, n_issues, error.
 
-    Heading errors fail the report of a Word file but do not change its status. A file that could
-    not be read has no success and stays Untested. errors: path, error.
+    files: path, kind, error, n_heading_errors. Heading errors fail the report of a Word file but do
+    not change its status. A file that could not be read has no success and stays Untested.
     """
-    n = issues.groupBy("path").agg(F.count("*").alias("n"))
-    h = heading_issues.groupBy("path").agg(F.count("*").alias("h"))
-    rows = files.select("path", "kind").join(n, "path", "left").join(h, "path", "left").join(errors, "path", "left")
-    n, h, bad = F.coalesce("n", F.lit(0)), F.coalesce("h", F.lit(0)), F.col("error").isNotNull()
+    rows = files.join(issues.groupBy("path").agg(F.count("*").alias("n")), "path", "left")
+    n, bad = F.coalesce("n", F.lit(0)), F.col("error").isNotNull()
     status = F.when(bad, UNTESTED).otherwise(S.tested_status(F.col("kind"), n))
-    passed = ~bad & (n == 0) & (~(F.col("kind") == WORD) | (h == 0))
+    passed = ~bad & (n == 0) & (~(F.col("kind") == WORD) | (F.col("n_heading_errors") == 0))
     return rows.select("path", "kind", (~bad).alias("success"), status.alias("status"), passed.alias("report_passed"), n.cast("long").alias("n_issues"), "error")
 
 

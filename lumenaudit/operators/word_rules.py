@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .headings import heading_issues
+from .headings import count_errors, heading_issues, headings_of
 from .issues import issue, without_ignored
 
 # Codes of the language technique that never count.
@@ -38,4 +38,4 @@ def audit(t: dict[str, DataFrame], ignored: tuple[str, ...] = IGNORED) -> list[D
     return [without_ignored(x, ignored) for x in (picture_alt(t["word_images"]), link_text(t["word_links"]), table_header(t["word_tables"]))]
 
 
-__all__ = ["IGNORED", "audit", "heading_issues", "link_text", "picture_alt", "table_header"]
+__all__ = ["IGNORED", "audit", "count_errors", "heading_issues", "headings_of", "link_text", "picture_alt", "table_header"]

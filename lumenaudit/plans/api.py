@@ -38,17 +38,27 @@ def audit(files: DataFrame, kinds: tuple[str, ...] = KINDS, keep=None) -> Audit:
     Each file is opened once: the parsed rows are written to a table in the shared folder, from which
     every element table reads its own column. keep: what else to do with them.
     """
-    selected = report.in_batch_order(files, kinds)
-    folder = None if keep else lineage.work_dir(files.sparkSession, "audit")
-    parsed = (keep or (lambda df: lineage.save(df, f"{folder}/parsed")))(sources.parse_files(selected))
+    return audit_parsed(sources.parse_files(report.in_batch_order(files, kinds)), kinds, keep)
+
+
+def audit_parsed(parsed: DataFrame, kinds: tuple[str, ...] = KINDS, keep=None) -> Audit:
+    """The same of files that are parsed where they come from (rows as of ``parse_files``)."""
+    spark = parsed.sparkSession
+    folder = None if keep else lineage.work_dir(spark, "audit")
+    parsed = (keep or (lambda df: lineage.save(df, f"{folder}/parsed")))(parsed)
     tables = sources.element_tables(parsed)
     by_kind = {PDF: pdf_rules.audit, SLIDES: slide_rules.audit, WORD: word_rules.audit}
-    found = I.union_issues([empty(files.sparkSession, ISSUE), *[x for k in kinds for x in by_kind[k](tables)]])
-    headings = word_rules.heading_issues(tables["paragraphs"]) if WORD in kinds else empty(files.sparkSession, ISSUE)
-    locked = parsed.where("exists(pdf_meta, m -> m.encrypted)").select("path", F.lit("encrypted").alias("error"))
-    errors = parsed.where("error is not null").select("path", "error").unionByName(locked)
-    found = found.join(locked.select("path"), "path", "left_anti")
-    results = status.reduce_issues(parsed.select("path", "kind"), found, headings, errors)
+    # rules of one kind pass over the files of the others: whole row groups by their statistics
+    of_kind = {k: parsed.where(F.col("kind") == k) for k in kinds}
+    found = I.union_issues([empty(spark, ISSUE), *[x for k in kinds for x in by_kind[k](sources.element_tables(of_kind[k]))]])
+    headings = word_rules.heading_issues(of_kind[WORD]) if WORD in kinds else empty(spark, ISSUE)
+    encrypted = F.expr("exists(pdf_meta, m -> m.encrypted)")
+    if PDF in kinds:
+        found = found.join(of_kind[PDF].where(encrypted).select("path"), "path", "left_anti")
+    told = parsed.withColumn("error", F.coalesce("error", F.when(encrypted, "encrypted")))
+    n_errors = F.when(F.col("kind") == WORD, word_rules.count_errors(word_rules.headings_of(F.col("paragraphs")))).otherwise(0)
+    results = status.reduce_issues(told.select("path", "kind", "error", n_errors.alias("n_heading_errors")), found)
+    errors = told.where("error is not null").select("path", "error")
     unread = I.issue(errors, "parse-error", F.lit("file"), error=F.col("error"))
     return Audit(results, I.union_issues([found, headings, unread]), tables, folder)
 

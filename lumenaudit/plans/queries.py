@@ -455,17 +455,16 @@ def page_headings(spark, sf_dir):
 
 
 
-def tested(files: DataFrame) -> api.Audit:
-    """Files that were made from rows, read and tested once each."""
-    return api.audit(files)
+def tested(rows: DataFrame, path: str, kind: str, make, **columns) -> api.Audit:
+    """Rows made into files, which are read and tested once each."""
+    return api.audit_parsed(builders.build(rows, path, kind, make, read=True, **columns))
 
 
 @query("SELECT doc_id::VARCHAR AS path, i::INT AS para_ord, s[i] AS text FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))")
 def word_paragraphs(spark, sf_dir):
     """Documents are written as Word files, a paragraph for each line, and read back."""
     paragraphs = F.transform(F.split("text", "\n"), lambda t: F.struct(F.lit(None).cast("string").alias("style"), t.alias("text")))
-    files = builders.build(table(spark, sf_dir, "documents"), "doc_id", "word", builders.word, paragraphs=paragraphs)
-    return tested(files).tables["paragraphs"].select("path", "para_ord", "text")
+    return tested(table(spark, sf_dir, "documents"), "doc_id", "word", builders.word, paragraphs=paragraphs).tables["paragraphs"].select("path", "para_ord", "text")
 
 
 @query(f"""WITH RECURSIVE o AS ({LEVELS_SQL}), f AS (SELECT l_orderkey, 0::BIGINT AS pos, NULL::INT AS level, -1 AS at, 0 AS code FROM (SELECT DISTINCT l_orderkey FROM o)
@@ -473,10 +472,12 @@ UNION ALL SELECT o.l_orderkey, o.pos, o.level, CASE WHEN {HEADING_STEP} <> 0 THE
 SELECT l_orderkey::VARCHAR AS path, 'Accessible' AS status, count(*) FILTER (WHERE code <> 0) = 0 AS report_passed FROM f GROUP BY l_orderkey""")
 def word_heading_audit(spark, sf_dir):
     """Orders as Word files whose lines are headings; heading errors fail the report and leave the status."""
-    rows = synthetic_levels(spark, sf_dir).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", F.struct("level").alias("h")))).alias("rows"))
-    style = lambda x: F.concat(F.lit("Heading"), F.coalesce(x["h"]["level"].cast("string"), F.lit("X")))
-    paragraphs = F.transform("rows", lambda x: F.struct(style(x).alias("style"), x["pos"].cast("string").alias("text")))
-    return tested(builders.build(rows, "path", "word", builders.word, paragraphs=paragraphs)).results.select("path", "status", "report_passed")
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("rows"))  # lines are moved once
+    level = lambda x: F.nullif((x["l_partkey"] % 6).cast("int"), F.lit(5)).cast("string")
+    style = lambda x: F.concat(F.lit("Heading"), F.coalesce(level(x), F.lit("X")))
+    paragraphs = F.transform("rows", lambda x, i: F.struct(style(x).alias("style"), (i + 1).cast("string").alias("text")))
+    return tested(rows, "l_orderkey", "word", builders.word, paragraphs=paragraphs).results.select("path", "status", "report_passed")
 
 
 DECK_SQL = "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS slide FROM conversations"
@@ -494,7 +495,7 @@ def deck_audit(spark, sf_dir):
     )
     decks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(slide)).alias("rows"))
     slides = F.transform("rows", lambda r: F.struct(r["title"].alias("title"), r["color"].alias("color"), r["shown"].alias("text"), r["target"].alias("target"), r["picture"].alias("picture")))
-    found = tested(builders.build(decks, "conv_id", "powerpoint", builders.deck, slides=slides)).issues
+    found = tested(decks, "conv_id", "powerpoint", builders.deck, slides=slides).issues
     return found.groupBy("path", "rule_id").agg(F.count("*").alias("n"))
 
 
@@ -505,8 +506,7 @@ def pdf_audit(spark, sf_dir):
     """Pages as PDFs with their titles, languages and links, tested by all rules."""
     html, k = F.col("html"), F.col("page_id")
     title, lang = F.when(k % 7 == 0, F.lit("")).otherwise(M.title(html)), F.when(k % 5 != 0, M.language(html))
-    files = builders.build(table(spark, sf_dir, "pages"), "page_id", "pdf", builders.portable, title=title, language=lang, links=M.links(html))
-    return tested(files).issues.select("path", "rule_id", F.col("detail")["n"].alias("n"))
+    return tested(table(spark, sf_dir, "pages"), "page_id", "pdf", builders.portable, title=title, language=lang, links=M.links(html)).issues.select("path", "rule_id", F.col("detail")["n"].alias("n"))
 
 
 @query(f"""WITH k AS ({LINKS_SQL}), bad AS (SELECT page_id FROM pages WHERE page_id % 7 = 0 OR page_id % 5 = 0 UNION SELECT page_id FROM (SELECT page_id, CASE WHEN trim(text) = '' THEN url ELSE trim(text) END AS text FROM k WHERE url <> '') WHERE {UNCLEAR_SQL})
@@ -517,7 +517,7 @@ def pdf_batch_with_faults(spark, sf_dir):
     title, lang = F.when(k % 7 == 0, F.lit("")).otherwise(M.title(html)), F.when(k % 5 != 0, M.language(html))
     files = builders.build(table(spark, sf_dir, "pages"), "page_id", "pdf", builders.portable, title=title, language=lang, links=M.links(html))
     cut = F.when(F.col("path").cast("long") % 11 == 0, F.lit(b"no file")).otherwise(F.col("content"))
-    return tested(files.withColumn("content", cut)).results.select("path", "success", "status")
+    return api.audit(files.withColumn("content", cut)).results.select("path", "success", "status")
 
 
 @query(f"SELECT doc_id, CASE status WHEN 'Accessible' THEN 'pass' WHEN 'Manual Testing Required' THEN 'manual' ELSE 'fail' END AS icon FROM ({FILES_SQL})")

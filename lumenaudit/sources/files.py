@@ -19,6 +19,8 @@ from . import ooxml, pdf
 SUFFIX = {WORD: "docx", PDF: "pdf", SLIDES: "pptx"}
 #: Parsed files that are passed on together: so many bytes of content, or so many files.
 GROUP_BYTES, GROUP_FILES = 4 << 20, 256
+#: A parsed row without elements; its lists are shared and never changed.
+NOTHING: dict = {name: [] for name in ELEMENTS} | {"error": None, "extract_error": None}
 FILE_COLUMNS = ("path", "name", "dir", "ext", "kind", "size", "mtime")
 
 
@@ -85,37 +87,43 @@ def list_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+def parse_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Files (path, kind, content) as parsed rows."""
+    held, size = [], 0
+    for batch in batches:
+        contents = batch.column(2)
+        for i, (path, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            data = contents[i].as_py()  # one content at a time: they may be large
+            row: dict = NOTHING | {"path": path, "kind": kind}
+            try:
+                if kind == PDF:
+                    elements, row["extract_error"] = pdf.parse(data or b"")
+                    row |= elements
+                elif kind in (WORD, SLIDES):
+                    row |= ooxml.parse(kind, data or b"")
+            except Exception as e:  # whatever a damaged file makes a parser raise belongs to that file
+                row = NOTHING | {"path": path, "kind": kind, "error": f"{type(e).__name__}: {e}"[:500]}
+            held.append(row)
+            size += len(data or b"")
+            if size >= GROUP_BYTES or len(held) >= GROUP_FILES:
+                yield pa.RecordBatch.from_pylist(held, schema)
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def parsed_schema() -> pa.Schema:
+    return to_arrow_schema(T._parse_datatype_string(PARSED))
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """One row for each file with its elements as arrays; ``files`` has path, kind and content.
 
     A file is opened once. One that cannot be read has an ``error`` and no elements and never fails
     the job; what a reader could not extract is in ``extract_error``.
     """
-    schema = to_arrow_schema(T._parse_datatype_string(PARSED))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for i in range(batch.num_rows):  # one content at a time: they may be large
-                path, kind, data = (batch.column(k)[i].as_py() for k in range(3))
-                row: dict = {name: [] for name in ELEMENTS} | {"path": path, "kind": kind, "error": None, "extract_error": None}
-                try:
-                    if kind == PDF:
-                        elements, row["extract_error"] = pdf.parse(data or b"")
-                        row |= elements
-                    elif kind in (WORD, SLIDES):
-                        row |= ooxml.parse(kind, data or b"")
-                except Exception as e:  # whatever a damaged file makes a parser raise belongs to that file
-                    row = {name: [] for name in ELEMENTS} | {"path": path, "kind": kind, "error": f"{type(e).__name__}: {e}"[:500], "extract_error": None}
-                held.append(row)
-                size += len(data or b"")
-                if size >= GROUP_BYTES or len(held) >= GROUP_FILES:
-                    yield pa.RecordBatch.from_pylist(held, schema)
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_pylist(held, schema)
-
-    return files.select("path", "kind", "content").mapInArrow(work, PARSED)
+    schema = parsed_schema()
+    return files.select("path", "kind", "content").mapInArrow(lambda batches: parse_batches(batches, schema), PARSED)
 
 
 def element_tables(parsed: DataFrame) -> dict[str, DataFrame]:
