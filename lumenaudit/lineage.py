@@ -1,4 +1,4 @@
-"""Where lineage ends: tables in the folder that the driver and all executors share."""
+"""Where lineage ends: tables in the folder that the driver and all executors share; the size of what goes to Python."""
 
 from __future__ import annotations
 
@@ -46,3 +46,15 @@ def save(df: DataFrame, path: str) -> DataFrame:
     """Writes ``df`` and reads it back: lineage ends here and survives the loss of executors."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: What one Arrow batch of rows may have, about; a batch is on hand several times, in the JVM and in Python.
+BATCH = 4 << 20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Ten thousand long texts make no batch: lowers the session's bound on its bytes, if it is higher."""
+    told = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_KEY))
+    if not 0 < told <= BATCH:
+        spark.conf.set(BATCH_KEY, str(BATCH))

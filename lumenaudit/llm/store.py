@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lineage
-from ..lineage import base_dir, drop, on_hadoop, save  # noqa: F401  for the operators
+from ..lineage import base_dir, bound_batches, drop, on_hadoop, save  # noqa: F401  for the operators
 
 MB = 1 << 20
 
@@ -46,18 +46,6 @@ def lean(work):
     return run
 
 
-#: What one Arrow batch of rows may have, about; a batch is on hand several times, in the JVM and in Python.
-BATCH = 4 * MB
-BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Ten thousand long texts make no batch: lowers the session's bound on its bytes, if it is higher."""
-    told = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_KEY))
-    if not 0 < told <= BATCH:
-        spark.conf.set(BATCH_KEY, str(BATCH))
-
-
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new, unique place for one run of an operator; it goes when the driver ends."""
     bound_batches(spark)

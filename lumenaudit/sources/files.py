@@ -12,13 +12,17 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .. import lineage
 from ..functions import scalar as S
 from ..schema import ELEMENTS, PARSED, PDF, SLIDES, WORD, empty
 from . import ooxml, pdf
 
 SUFFIX = {WORD: "docx", PDF: "pdf", SLIDES: "pptx"}
-#: Parsed files that are passed on together: so many bytes of content, or so many files.
+#: Parsed files that are passed on together: about so many bytes of elements, or so many files. The size
+#: of packed content would not do: a few MB unfold to many times that.
 GROUP_BYTES, GROUP_FILES = 4 << 20, 256
+#: Of an element beside its texts, as a Python object; tables whose elements have texts.
+ELEMENT_BYTES, WITH_TEXT = 200, ("paragraphs", "runs", "comments", "word_links", "text_items")
 #: A parsed row without elements; its lists are shared and never changed.
 NOTHING: dict = {name: [] for name in ELEMENTS} | {"error": None, "extract_error": None}
 FILE_COLUMNS = ("path", "name", "dir", "ext", "kind", "size", "mtime")
@@ -87,6 +91,18 @@ def list_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+def held_bytes(row: dict) -> int:
+    """What a parsed file takes, about."""
+    size = 0
+    for name in ELEMENTS:
+        if elements := row[name]:
+            size += ELEMENT_BYTES * len(elements)
+            if name in WITH_TEXT:
+                for e in elements:
+                    size += len(e["text"] or "")
+    return size
+
+
 def parse_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Files (path, kind, content) as parsed rows."""
     held, size = [], 0
@@ -104,7 +120,7 @@ def parse_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Itera
             except Exception as e:  # whatever a damaged file makes a parser raise belongs to that file
                 row = NOTHING | {"path": path, "kind": kind, "error": f"{type(e).__name__}: {e}"[:500]}
             held.append(row)
-            size += len(data or b"")
+            size += held_bytes(row)
             if size >= GROUP_BYTES or len(held) >= GROUP_FILES:
                 yield pa.RecordBatch.from_pylist(held, schema)
                 held, size = [], 0
@@ -123,6 +139,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     the job; what a reader could not extract is in ``extract_error``.
     """
     schema = parsed_schema()
+    lineage.bound_batches(files.sparkSession)
     return files.select("path", "kind", "content").mapInArrow(lambda batches: parse_batches(batches, schema), PARSED)
 
 

@@ -8,9 +8,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lumenaudit import lineage
 from lumenaudit.operators import headings
 from lumenaudit.plans import api, queries
-from lumenaudit.sources import builders, ooxml
+from lumenaudit.sources import builders, files, ooxml
 
 from ..oracle import SF_DIR, connection
 
@@ -135,3 +136,27 @@ def test_style_of_properties(second):
     xml = f'<w:document xmlns:w="{ooxml.W[1:-1]}"><w:body><w:p>{props}<w:r><w:t>a</w:t><w:t/><w:t>b</w:t></w:r></w:p></w:body></w:document>'
     got = ooxml.parse_word({ooxml.DOCUMENT: xml.encode()})
     assert got["paragraphs"] == [{"para_ord": 1, "style_id": "Heading2", "text": "ab"}] and [r["text"] for r in got["runs"]] == ["a", "", "b"]
+
+
+def test_python_holds_little(spark):
+    """Contents that unfold to many times their size, and rows before they are files."""
+    big = builders.word({"paragraphs": [{"style": None, "text": "word " * 20000}] * 4})
+    assert len(big) < 10000
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{n}" for n in range(100)]), pa.array(["word"] * 100), pa.array([big] * 100, pa.binary())], ["path", "kind", "content"])
+    groups = list(files.parse_batches(iter([batch]), files.parsed_schema()))
+    assert sum(g.num_rows for g in groups) == 100 and all(g.nbytes < 2 * files.GROUP_BYTES for g in groups)
+    many = builders.word({"paragraphs": [{"style": None, "text": ""}] * 20000})
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array(["word"] * 3), pa.array([many] * 3, pa.binary())], ["path", "kind", "content"])
+    assert [g.num_rows for g in files.parse_batches(iter([batch]), files.parsed_schema())] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("made", [True, False])
+def test_batches_are_bounded(spark, made):
+    before = spark.conf.get(lineage.BATCH_KEY)
+    spark.conf.set(lineage.BATCH_KEY, "64m")
+    try:
+        df = spark.createDataFrame([("a", None, None)], "path string, kind string, content binary")
+        builders.build(df, "path", "word", builders.word) if made else files.parse_files(df)
+        assert int(spark.conf.get(lineage.BATCH_KEY)) <= 4 << 20
+    finally:
+        spark.conf.set(lineage.BATCH_KEY, before)
